@@ -43,6 +43,11 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def sized(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """df, marked for broadcast if a count shows at most `rows` (narrow) rows; else left to a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """`rid` long plus the named columns (doc_id and text by default).
 
