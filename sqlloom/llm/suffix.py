@@ -46,6 +46,9 @@ WIDTHS = (256, 32, 4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bits of the filter of hashes seen twice.
+FILTER_BITS = 1 << 26
+_ROW = "rid long, at int, lo int, hi int, inner long, outer binary"
 _KEYS = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("inner", pa.int64()), ("outer", pa.binary())])
 
 
@@ -87,39 +90,58 @@ def anchors(data: np.ndarray, span: int = SPAN, width: int = WIDTHS[0], gram: in
     return at[cut], cut, np.r_[cut[1:], starts] - 1
 
 
-def _tests(data: bytes, first: int, last: int, span: int, seed: int) -> tuple[int, bytes | None]:
-    """Hashes of what the windows of the starts first..last share, and of all they cover.
-
-    The outer string must be whole, so that its equality speaks for every start of the run."""
-    inner = xxh3_64_intdigest(data[last : first + span], seed) - (1 << 63)
+def _outer(data: bytes, first: int, last: int, span: int, seed: int) -> bytes | None:
+    """Hash of all that the windows of the starts first..last cover; null where the text ends before,
+    since only a whole string speaks for every start of the run."""
     whole = first >= 0 and last + span <= len(data)
-    return inner, xxh3_128_digest(data[first : last + span], seed) if whole else None
+    return xxh3_128_digest(data[first : last + span], seed) if whole else None
 
 
-def anchor_rows(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """rid, at, lo, hi, inner, outer for each anchor of texts(rid, text)."""
-    schema, width = _KEYS, WIDTHS[0]
+def anchor_rows(texts: DataFrame, span: int = SPAN, seen_twice: np.ndarray | None = None) -> DataFrame:
+    """Anchors of texts(rid, text). Without `seen_twice` only their inner hashes; with it, rid, at, lo,
+    hi, inner and outer of those whose inner hash may have been seen twice."""
+    shared = seen_twice is not None and texts.sparkSession.sparkContext.broadcast(seen_twice)
+    width = WIDTHS[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared and shared.value
         for batch in batches:
-            rid, columns = [], [[], [], []]
-            inner, outer = [], []
+            found: list[list] = [[], [], [], [], [], []]
             for row, text in zip(batch["rid"].to_pylist(), blob(batch["text"]), strict=True):
                 at, lo, hi = anchors(np.frombuffer(text, np.uint8), span)
                 if not len(at):
                     continue
-                for column, values in zip(columns, (at, lo, hi), strict=True):
+                cut = span - width + 1
+                inner = np.array([xxh3_64_intdigest(text[a : a + cut]) for a in at.tolist()], np.uint64).view(np.int64)
+                if not shared:
+                    found[4].append(inner)
+                    continue
+                place = inner & (FILTER_BITS - 1)
+                keep = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
+                for column, values in zip(found, (np.full(len(keep), row), at[keep], lo[keep], hi[keep], inner[keep]), strict=False):
                     column.append(values)
-                rid.append(np.full(len(at), row))
-                for a in at.tolist():
-                    i, o = _tests(text, a - width + 1, a, span, 0)
-                    inner.append(i)
-                    outer.append(o)
-            if rid:
-                at, lo, hi = (pa.array(np.concatenate(c).astype(np.int32)) for c in columns)
-                yield pa.record_batch([pa.array(np.concatenate(rid)), at, lo, hi, pa.array(inner, pa.int64()), pa.array(outer, pa.binary())], schema=schema)
+                found[5] += [_outer(text, a - width + 1, a, span, 0) for a in at[keep].tolist()]
+            if found[4]:
+                if not shared:
+                    yield pa.record_batch([pa.array(np.concatenate(found[4]))], names=["inner"])
+                else:
+                    columns = [np.concatenate(c) for c in found[:5]]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip([*columns, found[5]], _KEYS.types, strict=True)], schema=_KEYS)
+
+    return texts.mapInArrow(run, _ROW if shared else "inner long")
+
 
-    return texts.mapInArrow(run, "rid long, at int, lo int, hi int, inner long, outer binary")
+def repeat_filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS with the places of hashes seen twice or more. Its size is fixed; when
+    a corpus fills it, it lets more through, and the exact join behind it decides."""
+    twice = hashes.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("inner").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))
+    bucket = (F.col("place") / 32768).cast("long").alias("bucket")
+    maps = twice.groupBy(bucket).agg(F.bitmap_construct_agg((F.col("place") % 32768)).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps.collect():  # at most FILTER_BITS / 32768 rows
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["bucket"] * 4096 : r["bucket"] * 4096 + len(own)] = own
+    return out
 
 
 def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,50 +152,43 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     third of all rows hold is one row a task."""
     rows = materialize(rows)
     inner = rows.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select("inner")
-    rows = materialize(rows.join(inner, "inner", "left_semi"))
     outer = rows.filter("outer is not null").groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer", F.lit(True).alias("all"))
-    judged = materialize(rows.join(outer, "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
-    left = judged.filter("not all").drop("all", "outer")
+    judged = materialize(rows.join(inner, "inner", "left_semi").join(outer, "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
+    left = judged.filter("not all")
     wanted = left.select("inner").distinct()
     partners = judged.filter("all").join(wanted, "inner", "left_semi")
-    own = [c for c in left.columns if c != "inner"]
-    one = partners.groupBy("outer").agg(F.min_by(F.struct(*own), F.struct("rid", "at", "lo")).alias("o")).select("o.*")
+    own = ["rid", "at", "lo", "hi"]
+    one = partners.groupBy("outer").agg(F.min(F.struct(*own)).alias("o")).select("o.*")
     return judged.filter("all").select("rid", "lo", "hi"), left.select(*own).unionByName(one)
 
 
-def with_context(open_rows: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """Open anchors with the bytes that their windows cover. Texts meet their anchors once, by rid."""
+def placed(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """Texts that have open places, with them. Only (rid, places) move unless there are very many."""
     places = open_rows.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("open"))
-    data = F.col("text").cast("binary")
-    cut = lambda o: F.struct("rid", o["at"], o["lo"], o["hi"], o["lo"].alias("base"), F.substring(data, o["lo"] + 1, o["hi"] - o["lo"] + F.lit(span)).alias("context"))
-    return texts.join(sized(places), "rid").select(F.explode(F.transform("open", cut)).alias("o")).select("o.*")
-
+    return texts.join(sized(materialize(places)), "rid")
 
-_RUN = "rid long, at int, lo int, hi int, inner long, outer binary, base int, context binary"
 
-
-def run_rows(open_rows: DataFrame, width: int, span: int = SPAN) -> DataFrame:
+def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPAN) -> DataFrame:
     """Cut the starts lo..hi into runs that lie at fixed distances before the anchor `at`.
 
     The distance seeds the hashes: a place that two anchors reach is not taken for its own copy."""
-    schema = pa.schema([*_KEYS, ("base", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            rows = zip(*(batch[c].to_pylist() for c in ("rid", "at", "lo", "hi", "base", "context")), strict=True)
-            for rid, at, lo, hi, base, context in rows:
-                for j in range((at - hi) // width, (at - lo) // width + 1):
-                    last = at - j * width
-                    first = last - width + 1
-                    inner, outer = _tests(context, first - base, last - base, span, 1 + j)
-                    a, b = max(lo, first), min(hi, last)
-                    for column, value in zip(out, (rid, at, a, b, inner, outer, a, context[a - base : b + span - base]), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
-
-    return open_rows.select("rid", "at", "lo", "hi", "base", "context").mapInArrow(run, _RUN)
+            out: list[list] = [[] for _ in _KEYS]
+            for rid, text, places in zip(batch["rid"].to_pylist(), blob(batch["text"]), batch["open"].to_pylist(), strict=True):
+                for p in places:
+                    at, lo, hi = p["at"], p["lo"], p["hi"]
+                    for j in range((at - hi) // width, (at - lo) // width + 1):
+                        last = at - j * width
+                        first = last - width + 1
+                        inner = xxh3_64_intdigest(text[last : first + span], 1 + j)
+                        row = (rid, at, max(lo, first), min(hi, last), inner - (inner >> 63 << 64), _outer(text, first, last, span, 1 + j))
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _KEYS.types, strict=True)], schema=_KEYS)
+
+    return placed(texts, open_rows).select("rid", "text", "open").mapInArrow(run, _ROW)
 
 
 # --- the sort -----------------------------------------------------------------------------------
@@ -337,13 +352,14 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
 
 def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """(rid, lo, hi): ranges of starts whose span bytes start elsewhere too, for texts(rid, text)."""
-    sure, rows = settle(anchor_rows(texts, span))
-    rows = materialize(with_context(rows, texts, span))
+    sure, rows = settle(anchor_rows(texts, span, repeat_filter(anchor_rows(texts, span))))
     for width in WIDTHS[1:]:
-        more, rows = settle(run_rows(rows, width, span))
+        more, rows = settle(run_rows(texts, rows, width, span))
         sure = sure.unionByName(more)
-    each = rows.select("rid", F.explode(F.sequence("lo", "hi")).alias("x"), "base", "context")
-    single = each.select("rid", "x", F.substring(F.col("context"), F.col("x") - F.col("base") + 1, F.lit(span)).alias("suffix"))
+    data = F.col("text").cast("binary")
+    starts = F.flatten(F.transform("open", lambda o: F.sequence(o["lo"], o["hi"])))
+    suffixes = F.transform(F.array_distinct(starts), lambda x: F.struct("rid", x.alias("x"), F.substring(data, x + 1, F.lit(span)).alias("suffix")))
+    single = placed(texts, rows).select(F.explode(suffixes).alias("s")).select("s.*")
     last = sorted_neighbours(single, span)
     return sure.unionByName(last.select("rid", F.col("x").alias("lo"), F.col("x").alias("hi")))
 
