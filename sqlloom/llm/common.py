@@ -48,6 +48,12 @@ def sized(df: DataFrame, rows: int = 300_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """df, written and then sized: the narrow side of a join on a hot key. Over the limit both sides
+    are plain exchanges, which adaptive execution can split where a key has very many rows."""
+    return sized(materialize(df))
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """`rid` long plus the named columns (doc_id and text by default).
 
