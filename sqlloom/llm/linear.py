@@ -18,7 +18,7 @@ from .common import blob, materialize
 
 BITS = 22
 #: Labelled rows that a model is trained on at most; those of least hash are taken.
-SAMPLE = 8_000
+SAMPLE = 6_000
 
 #: Text to (feature numbers, values); numbers below 2 ** BITS, which may repeat and then add up.
 Featurizer = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
@@ -33,13 +33,19 @@ def fold(column: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def summed(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One value for each number."""
+    at, inverse = np.unique(at, return_inverse=True)
+    return at.astype(np.int32), np.bincount(inverse, value, len(at)).astype(np.float32)
+
+
 def vectors(docs: DataFrame, featurizer: Callable[[], Featurizer], *keep: str) -> DataFrame:
     """keep columns, `at` array<int> and `value` array<float> for each row of docs(text, keep...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = featurizer()
         for batch in batches:
-            made = [make(t) for t in blob(batch["text"])]
+            made = [summed(*make(t)) for t in blob(batch["text"])]
             columns = [pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), *columns], [*keep, "at", "value"])
 
@@ -68,7 +74,7 @@ class Ftrl:
         self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
-    def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         l1 = np.full(len(z), self.l1)
         l1[-1] = 0  # the bias comes last and is free
@@ -90,17 +96,16 @@ class Ftrl:
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 self.update(*rows[i])
-        return self.weights().astype(np.float32)
+        used = np.append(np.flatnonzero(self.n[:-1]), len(self.n) - 1)
+        out = np.zeros(len(self.n), np.float32)
+        out[used] = self.weights(used)
+        return out
 
 
-def collected(frame: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float, int]]:
+def collected(frame: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """A bounded sample's vectors on the driver, in an order that depends on content only."""
-    table = materialize(frame).toPandas().sort_values("id", kind="stable")
-    out = []
-    for a, v, y, i in zip(table["at"], table["value"], table["y"], table["id"], strict=True):
-        at, inverse = np.unique(np.asarray(a, np.int64), return_inverse=True)  # one value for each number
-        out.append((at, np.bincount(inverse, np.asarray(v, np.float64), len(at)), float(y), int(i)))
-    return out
+    table = materialize(frame).toArrow().sort_by("id")
+    return [(a.values.to_numpy(), v.values.to_numpy(), float(y.as_py())) for a, v, y in zip(table["at"], table["value"], table["y"], strict=True)]
 
 
 def scored(docs: DataFrame, featurizer: Callable[[], Featurizer], weights: np.ndarray) -> DataFrame:

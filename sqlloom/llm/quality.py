@@ -73,8 +73,7 @@ def featurizer() -> Featurizer:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights, learnt from rows outside the held-out fold only; at most `sample` of them."""
     chosen = labelled(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD_OUT, sample)
-    rows = [r[:3] for r in collected(vectors(chosen, featurizer, "id", "y"))]
-    return Ftrl(alpha=0.3, l1=0.3).fit(rows)
+    return Ftrl(alpha=0.3, l1=0.3).fit(collected(vectors(chosen, featurizer, "id", "y")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -74,20 +74,25 @@ def induce(texts: list[bytes], y: np.ndarray, most: int = INDUCED) -> list[bytes
 
     The score is the lower end of the log odds (half counts, two standard errors); a term must add a
     third of its own toxic texts, so endings of one stem do not fill the list."""
-    own = [terms(t) for t in texts]
+    toxic = [i for i in range(len(texts)) if y[i] > 0.5]
     counts = (Counter(), Counter())
-    for found, label in zip(own, y, strict=True):
-        counts[int(label > 0.5)].update(found)
+    for i in toxic:
+        counts[1].update(terms(texts[i]))
+    often = {t for t, c in counts[1].items() if c > 1}
+    for i in range(len(texts)):
+        if y[i] <= 0.5:
+            counts[0].update(terms(texts[i]) & often)
     n1, n0 = int((y > 0.5).sum()), int((y <= 0.5).sum())
     score = {}
-    for term, c in counts[1].items():
+    for term in often:
+        c = counts[1][term]
         a, b = c + 0.5, counts[0][term] + 0.5
         low = np.log(a / (n1 + 1)) - np.log(b / (n0 + 1)) - 2 * np.sqrt(1 / a + 1 / b)
-        if c >= 2 and a / (n1 + 1) > 8 * b / (n0 + 1):
+        if a / (n1 + 1) > 8 * b / (n0 + 1):
             score[term] = low
     where: dict[bytes, list[int]] = {t: [] for t in score}
-    for i in np.flatnonzero(y > 0.5):
-        for term in own[i] & score.keys():
+    for i in toxic:
+        for term in terms(texts[i]) & score.keys():
             where[term].append(i)
     seen, out = np.zeros(len(texts), bool), []
     for term in sorted(score, key=lambda t: (-counts[1][t] * min(1, max(0.1, score[t])), -score[t], len(t), t)):
