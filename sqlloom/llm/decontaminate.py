@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import blob, keyed, materialize
+from .common import blob, keyed, lookup
 
 WINDOW = 8
 MIN_SHARE, MIN_WORDS = 0.5, 13
@@ -129,11 +129,12 @@ def _judge(text: bytes, kinds: _Kinds, hits: dict[int, list[tuple[int, int]]], i
     return sorted(leaked)
 
 
-_OUT = "rid long, doc_id long, n_hits long, items array<long>"
+_MADE = "n_hits long, items array<long>"
 
 
 def _held(docs: DataFrame, bench: list[tuple[int, bytes]]) -> DataFrame:
-    """Every worker holds the benchmark's windows in one sorted array: documents are read once and no row moves."""
+    """docs, all columns, with n_hits and items. Every worker holds the benchmark's windows in one sorted
+    array: documents are read once and no row moves."""
     kinds = _Kinds()
     rows = [(w, item, place) for item, text in bench for place, w in enumerate(windows(template(text, kinds)[1]).tolist())]
     rows.sort()
@@ -144,7 +145,6 @@ def _held(docs: DataFrame, bench: list[tuple[int, bytes]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (keys, where, items) = _Kinds(), shared.value
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_hits", pa.int64()), ("items", pa.list_(pa.int64()))])
         for batch in batches:
             n_hits, leaks = [], []
             for text in blob(batch["text"]):
@@ -163,9 +163,10 @@ def _held(docs: DataFrame, bench: list[tuple[int, bytes]]) -> DataFrame:
                             hits.setdefault(int(where[j, 0]), []).append((i - int(where[j, 1]), int(where[j, 1])))
                 n_hits.append(total)
                 leaks.append(_judge(text, own, hits, items) if hits else [])
-            yield pa.record_batch([batch["rid"], batch["doc_id"], pa.array(n_hits, pa.int64()), pa.array(leaks, pa.list_(pa.int64()))], schema=schema)
+            made = [pa.array(n_hits, pa.int64()), pa.array(leaks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "n_hits", "items"])
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, _OUT)
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _MADE]))
 
 
 def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -201,32 +202,29 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 hits = {f["item"]: [(h["at"] - h["place"], h["place"]) for h in f["hits"]] for f in found}
                 n_hits.append(len({h["at"] for f in found for h in f["hits"]}))
                 leaks.append(_judge(text, own, hits, {f["item"]: (f["item_text"] or "").encode() for f in found}))
-            yield pa.record_batch([batch["rid"], batch["doc_id"], pa.array(n_hits, pa.int64()), pa.array(leaks, pa.list_(pa.int64()))], names=["rid", "doc_id", "n_hits", "items"])
+            yield pa.record_batch([batch["rid"], pa.array(n_hits, pa.int64()), pa.array(leaks, pa.list_(pa.int64()))], names=["rid", "n_hits", "items"])
 
-    return docs.join(grouped, "rid", "left").select("rid", "doc_id", "text", "found").mapInArrow(judge, _OUT)
+    marked = docs.select("rid", "text").join(grouped, "rid").mapInArrow(judge, f"rid long, {_MADE}")
+    none = F.array().cast("array<long>")
+    return docs.join(lookup(marked), "rid", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0))).withColumn("items", F.coalesce("items", none))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, held_windows: int = HELD_WINDOWS) -> DataFrame:
-    """rid, doc_id, n_hits and the leaked items of each row of docs(rid, doc_id, text)."""
+    """docs(doc_id, text, ...), all columns, with n_hits and the leaked items."""
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null").distinct()
     words = bench.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")) + 1)).first()[0] or 0
     if words <= held_windows:  # a bound on the windows and, at a few bytes a word, on the texts
         return _held(docs, [(r["item_id"], r["text"].encode()) for r in bench.collect()])
-    return _joined(docs, bench)
+    return _joined(keyed(docs, *docs.columns), bench).drop("rid")
 
 
 def scan(docs: DataFrame, bench: DataFrame, held_windows: int = HELD_WINDOWS) -> DataFrame:
     """doc_id, n_hits, contaminated and the leaked items (ids, comma-joined) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = keyed(rows) if held_windows < HELD_WINDOWS else rows.withColumn("rid", F.col("doc_id"))
-    found = leaks(rows, bench, held_windows)
-    return found.select("doc_id", "n_hits", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("items"))
+    return leaks(rows, bench, held_windows).select("doc_id", "n_hits", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("items"))
 
 
-def remove(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, bench: DataFrame, held_windows: int = HELD_WINDOWS) -> DataFrame:
     """docs, all columns, without leaking rows."""
-    names = docs.columns
-    rows = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()))
-    found = leaks(rows.select(F.col("__rid").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), bench)
-    bad = found.filter(F.size("items") > 0).select(F.col("rid").alias("__rid"))
-    return rows.join(bad, "__rid", "left_anti").select(*[F.col(n) for n in names])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return leaks(rows, bench, held_windows).filter(F.size("items") == 0).select("row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup, materialize
 
 KINDS = ("assign", "access", "hex", "mixed")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,7 +88,7 @@ def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     each = found.select("row", F.explode(F.concat("base", "mixed")).alias("s")).select("row", "s", F.xxhash64("s.value").alias("hash"))
     live = F.col("n_owners") <= owners
     # A hash that a third of all rows hold is one row on the right; adaptive execution splits the left.
-    verdicts = each.join(ownership(found), "hash").groupBy("row").agg(
+    verdicts = each.join(lookup(ownership(found)), "hash").groupBy("row").agg(
         F.count_if(live).alias("n_live"),
         F.count_if(~live).alias("n_example"),
         F.collect_list(F.when(live & (F.col("s.kind") == 3), F.col("s"))).alias("added"),

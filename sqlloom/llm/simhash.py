@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import blob, components, materialize
+from .common import blob, components, keyed, lookup, materialize
 
 K = 3
 SEED = 42
@@ -163,7 +163,7 @@ def links(distinct: DataFrame, k: int = K) -> DataFrame:
     first = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), part(i, width, fp).alias("value")) for i in range(blocks)])).alias("r")).select("fp", "r.*")
     sizes = first.groupBy("block", "value").agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > HOT).select("block", "value", F.lit(True).alias("hot"))  # at most blocks * distinct / HOT
-    routed = first.join(hot, ["block", "value"], "left")
+    routed = first.join(lookup(hot), ["block", "value"], "left")
     # The other bits, with the block's own moved out, in k + 1 parts again.
     low = F.expr(f"fp & (shiftleft(1L, block * {width}) - 1)")
     high = F.when(F.col("block") == blocks - 1, F.lit(0)).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, (block + 1) * {width}), block * {width})"))
@@ -184,12 +184,14 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
     known = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     known = materialize(known)
     tops = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = known.select("fp", "label").join(tops, "label").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = known.select("fp", "label").join(lookup(tops), "label").select("fp", "component_id")
+    return prints.join(lookup(ids), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, any one of repeated rows."""
-    ids = cluster(docs, shingle, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs, all columns, with one row of each component: that of the smallest row key (doc_id, where
+    that is unique)."""
+    rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "doc_id", "text", "row")
+    found = cluster(rows.select(F.col("rid").alias("doc_id"), "text"), shingle, k)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("rid"))
+    return rows.select("rid", "row").join(lookup(gone), "rid", "left_anti").select("row.*")

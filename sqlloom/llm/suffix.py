@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import blob, keyed, materialize, sized
+from .common import blob, keyed, lookup, materialize, sized
 
 SPAN = 400
 GRAM = 24
@@ -153,10 +153,10 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(rows)
     inner = rows.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select("inner")
     outer = rows.filter("outer is not null").groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer", F.lit(True).alias("all"))
-    judged = materialize(rows.join(inner, "inner", "left_semi").join(outer, "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
+    judged = materialize(rows.join(lookup(inner), "inner", "left_semi").join(lookup(outer), "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
     left = judged.filter("not all")
     wanted = left.select("inner").distinct()
-    partners = judged.filter("all").join(wanted, "inner", "left_semi")
+    partners = judged.filter("all").join(lookup(wanted), "inner", "left_semi")
     own = ["rid", "at", "lo", "hi"]
     one = partners.groupBy("outer").agg(F.min(F.struct(*own)).alias("o")).select("o.*")
     return judged.filter("all").select("rid", "lo", "hi"), left.select(*own).unionByName(one)
@@ -165,7 +165,7 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def placed(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Texts that have open places, with them. Only (rid, places) move unless there are very many."""
     places = open_rows.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("open"))
-    return texts.join(sized(materialize(places)), "rid")
+    return texts.join(lookup(places), "rid")
 
 
 def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPAN) -> DataFrame:
@@ -396,7 +396,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
     long = rows.filter(F.octet_length(text) >= span)
     hashed = materialize(long.select("rid", F.sha2(text.cast("binary"), 256).alias("copy")))
     copies = hashed.groupBy("copy").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    whole = materialize(hashed.join(copies, "copy").select("rid", "first"))
+    whole = materialize(hashed.join(lookup(copies), "copy").select("rid", "first"))
     # Later copies leave the search: the first stands for them.
     later = whole.filter("rid <> first").select("rid")
     texts = long.select("rid", text.alias("text")).join(sized(later), "rid", "left_anti")
