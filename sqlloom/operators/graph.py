@@ -73,7 +73,7 @@ def impact(found: DataFrame) -> DataFrame:
 
 def usage_heatmap(found: DataFrame) -> DataFrame:
     u = column_usage(found)
-    return u.groupBy("table_name", "column_name").pivot("usage_type", ["WHERE", "JOIN_ON", "GROUP_BY", "HAVING", "ORDER_BY"]).agg(F.count("*")).na.fill(0)
+    return u.groupBy("table_name", "column_name").pivot("usage_type", ["WHERE", "JOIN_ON", "GROUP_BY", "HAVING", "ORDER_BY"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def corpus_coverage(found: DataFrame) -> DataFrame:
