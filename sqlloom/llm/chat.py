@@ -70,7 +70,7 @@ def windows(turns: Iterator[tuple[str, str]], size, budget: int = BUDGET) -> Ite
         repeated = ([system] if system and at else []) + history
         room = budget - sum(t[3] for t in repeated)
         # Read on until the pending turns pass the room, or the conversation ends.
-        while more and sums[-1] <= room:
+        while more and (not pending or sums[-1] <= room):
             turn = next(turns, None)
             if turn is None:
                 more = False

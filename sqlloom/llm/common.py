@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
@@ -43,15 +43,21 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def sized(df: DataFrame, rows: int = 300_000) -> DataFrame:
-    """df, marked for broadcast if a count shows at most `rows` (narrow) rows; else left to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Rows, and array elements in them, that may be broadcast.
+SMALL_ROWS, SMALL_ITEMS = 300_000, 500_000
 
 
-def lookup(df: DataFrame) -> DataFrame:
+def sized(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """df, marked for broadcast if a count shows at most SMALL_ROWS narrow rows, with at most SMALL_ITEMS
+    in their arrays (items: how many a row has); else left to a shuffle."""
+    n, m = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if items is None else items), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and m <= SMALL_ITEMS else df
+
+
+def lookup(df: DataFrame, items: Column | None = None) -> DataFrame:
     """df, written and then sized: the narrow side of a join on a hot key. Over the limit both sides
     are plain exchanges, which adaptive execution can split where a key has very many rows."""
-    return sized(materialize(df))
+    return sized(materialize(df), items)
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -76,9 +82,10 @@ def blob(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of edges(a, b): label is the least node it can reach.
 
-    Each round maps a node to the least of itself and its neighbours, follows that map once
-    more, and contracts the edges; self loops vanish. The edges at least halve in practice, and
-    minima are pre-aggregated, so a star with a third of all nodes costs one value a task.
+    Each round maps a node to the least of itself and its neighbours, follows that map to its end by
+    doubling, and contracts the edges; self loops vanish. What is left are nodes that were least among
+    their neighbours, at most half of them. Minima are pre-aggregated, so a star with a third of all
+    nodes costs one value a task.
     """
     empty = edges.filter(F.lit(False)).select(F.col("a").alias("node"), F.col("a").alias("label"))
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
@@ -88,8 +95,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return empty if labels is None else labels
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select(F.col("a").alias("node"), "to"))
-        up = least.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        step = materialize(least.join(up, "to", "left").select("node", F.coalesce("top", "to").alias("to")))
+        step = least.withColumn("moved", F.lit(True))
+        while not step.filter("moved").isEmpty():
+            up = step.select(F.col("node").alias("to"), F.col("to").alias("top"))
+            step = materialize(step.join(up, "to", "left").select("node", F.coalesce("top", "to").alias("to"), F.coalesce(F.col("top") != F.col("to"), F.lit(False)).alias("moved")))
+        step = step.drop("moved")
         if labels is None:
             labels = step.select("node", F.col("to").alias("label"))
         else:

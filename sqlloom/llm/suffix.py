@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import blob, keyed, lookup, materialize, sized
+from .common import blob, keyed, lookup, materialize
 
 SPAN = 400
 GRAM = 24
@@ -165,7 +165,7 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def placed(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Texts that have open places, with them. Only (rid, places) move unless there are very many."""
     places = open_rows.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("open"))
-    return texts.join(lookup(places), "rid")
+    return texts.join(lookup(places, F.size("open")), "rid")
 
 
 def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPAN) -> DataFrame:
@@ -399,9 +399,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
     whole = materialize(hashed.join(lookup(copies), "copy").select("rid", "first"))
     # Later copies leave the search: the first stands for them.
     later = whole.filter("rid <> first").select("rid")
-    texts = long.select("rid", text.alias("text")).join(sized(later), "rid", "left_anti")
+    texts = long.select("rid", text.alias("text")).join(lookup(later), "rid", "left_anti")
     found = repeated_starts(texts, span).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    marks = materialize(found.join(whole.select("rid", F.lit(True).alias("whole")), "rid", "full_outer"))
-    out = rows.select("rid", "doc_id", text.alias("text")).join(sized(marks), "rid", "left")
+    marks = lookup(found.join(whole.select("rid", F.lit(True).alias("whole")), "rid", "full_outer"), F.coalesce(F.size("ranges"), F.lit(0)))
+    out = rows.select("rid", "doc_id", text.alias("text")).join(marks, "rid", "left")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return out.select(F.col("doc_id").cast("long"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges").mapInArrow(cutter(span, with_text), ddl)
