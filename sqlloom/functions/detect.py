@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import strip_comments
@@ -60,9 +60,8 @@ def stripped(sql: Column) -> Column:
     return F.lower(F.regexp_replace(sql, F.lit(rf"(?s){quoted}|--[^\n]*|/\*.*?(?:\*/|\z)"), F.lit("$1 ")))
 
 
-def candidate_columns(sql: Column) -> Column:
-    """array<struct<dialect, confidence>>, best first. All anchors are regular expressions on one column."""
-    text = stripped(sql)
+def candidate_columns(text: Column) -> Column:
+    """array<struct<dialect, confidence>> of a text from stripped(), best first."""
     made = lambda d, c: F.struct(F.lit(d).alias("dialect"), c.alias("confidence"))
     spark = F.when(text.rlike(_any(SPARK_STRONG)), SPARK[0]).when(text.rlike(_any(SPARK_GENERAL)), SPARK[1]).otherwise(SPARK[2])
     each = [F.when(text.rlike(_any(ps)), made(d, F.lit(c))) for d, c, ps in ANCHORS] + [made("SPARK", spark)]
@@ -70,5 +69,21 @@ def candidate_columns(sql: Column) -> Column:
     return F.transform(F.array_sort(F.array_compact(ranked)), lambda r: r["c"])
 
 
-def best(sql: Column) -> Column:
-    return F.element_at(candidate_columns(sql), 1)
+def best(text: Column) -> Column:
+    """dialect and confidence of a text from stripped(): the first of the highest confidence.
+
+    Anchors are tried from the most confident down, so most texts stop after a few patterns."""
+    tries = [(c, i, d, _any(ps)) for i, (d, c, ps) in enumerate(ANCHORS)]
+    tries += [(SPARK[0], len(ANCHORS), "SPARK", _any(SPARK_STRONG)), (SPARK[1], len(ANCHORS), "SPARK", _any(SPARK_GENERAL)), (SPARK[2], len(ANCHORS), "SPARK", None)]
+    made = lambda d, c: F.struct(F.lit(d).alias("dialect"), F.lit(c).alias("confidence"))
+    out = None
+    for c, _, d, pattern in sorted(tries, key=lambda x: (-x[0], x[1])):
+        if pattern is None:
+            return out.otherwise(made(d, c))
+        out = F.when(text.rlike(pattern), made(d, c)) if out is None else out.when(text.rlike(pattern), made(d, c))
+    return out
+
+
+def detected(df: DataFrame, sql: str = "sql") -> DataFrame:
+    """df with dialect and confidence. The text is stripped in a step of its own, once a row."""
+    return df.withColumn("__text", stripped(F.col(sql))).withColumn("__best", best(F.col("__text"))).select(*df.columns, "__best.*")

@@ -31,9 +31,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFr
 
     Breadth first; each round joins only the new frontier, keeps what is new and cuts its lineage with
     a checkpoint. A seed is its own node at depth 0."""
-    spark = edges.sparkSession
-    spark.sparkContext.getCheckpointDir() or _checkpoint_dir(spark)
-    edges = edges.select("src", "dst").distinct().checkpoint()
+    edges = cut(edges.select("src", "dst").distinct())
     seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = seen
     for depth in range(1, max_rounds + 1):
@@ -45,12 +43,20 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFr
     return seen
 
 
-def _checkpoint_dir(spark) -> None:
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder: computed once, and safe when executors go."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark))
+    return df.checkpoint()
+
+
+def _checkpoint_dir(spark) -> str:
     import tempfile
 
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sqlloom-"))
+    return tempfile.mkdtemp(prefix="sqlloom-")
 
 
 def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -54,6 +54,15 @@ def _arrow_schema() -> pa.Schema:
     ])
 
 
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """df over enough partitions for work that is heavy for its bytes: a few for each core. Text is
+    small beside the time it takes to read it as SQL, so the exchange pays. Streams are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(per_core * cores)
+
+
 def lineage(scripts: DataFrame, sql: str = "sql", script_id: str = "script_id", dialect: str | None = None, parser: Callable = parse_script) -> DataFrame:
     """One row for each statement of scripts(script_id, sql), batch or streaming.
 
@@ -66,7 +75,7 @@ def lineage(scripts: DataFrame, sql: str = "sql", script_id: str = "script_id",
             out = [record(i, k, *s) for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) for k, s in enumerate(parser(text or "", dialect))]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return scripts.select(F.col(script_id).cast("long"), F.col(sql).cast("string")).mapInArrow(run, RESULT)
+    return spread(scripts.select(F.col(script_id).cast("long"), F.col(sql).cast("string"))).mapInArrow(run, RESULT)
 
 
 def full_name(table: Column) -> Column:

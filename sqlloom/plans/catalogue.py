@@ -142,12 +142,15 @@ query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custke
 
 # --- aggregation --------------------------------------------------------------------------------
 
-_REV = C("l_extendedprice") * (1 - C("l_discount"))
+def _revenue():
+    return C("l_extendedprice") * (1 - C("l_discount"))
+
+
 query(
     """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
     round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
     "group_by",
-)(lambda t: t.lineitem.filter("l_shipdate <= timestamp '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity", "sum_qty"), money("l_extendedprice", "sum_base"), money(_REV, "sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n")))
+)(lambda t: t.lineitem.filter("l_shipdate <= timestamp '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity", "sum_qty"), money("l_extendedprice", "sum_base"), money(_revenue(), "sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n")))
 query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 12", "having")(lambda t: t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")).filter("n > 12"))
 query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, count(DISTINCT l_partkey) AS p FROM lineitem GROUP BY 1", "distinct_agg")(
     lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("s"), F.count_distinct("l_partkey").alias("p"))
@@ -193,26 +196,29 @@ query("SELECT width AS bin, count(*) AS n FROM (SELECT CASE WHEN s_acctbal < -10
 
 # --- windows ------------------------------------------------------------------------------------
 
-_W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 for fn in ("row_number", "percent_rank", "cume_dist"):
     cast = (lambda c: F.round(c, 9)) if fn != "row_number" else (lambda c: c.cast("long"))
-    query(f"SELECT o_orderkey, {'round(' if fn != 'row_number' else ''}{fn}() {_OVER}{', 9)' if fn != 'row_number' else ''} AS v FROM orders", fn)(lambda t, fn=fn, cast=cast: t.orders.select("o_orderkey", cast(getattr(F, fn)().over(_W)).alias("v")))
+    query(f"SELECT o_orderkey, {'round(' if fn != 'row_number' else ''}{fn}() {_OVER}{', 9)' if fn != 'row_number' else ''} AS v FROM orders", fn)(lambda t, fn=fn, cast=cast: t.orders.select("o_orderkey", cast(getattr(F, fn)().over(_by_customer())).alias("v")))
 for fn in ("rank", "dense_rank"):
     query(f"SELECT l_orderkey, l_quantity, {fn}() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS v FROM lineitem", fn)(
         lambda t, fn=fn: t.lineitem.select("l_orderkey", "l_quantity", getattr(F, fn)().over(Window.partitionBy("l_orderkey").orderBy("l_quantity")).cast("long").alias("v"))
     )
-query(f"SELECT o_orderkey, ntile(4) {_OVER} AS v FROM orders", "ntile")(lambda t: t.orders.select("o_orderkey", F.ntile(4).over(_W).cast("long").alias("v")))
+query(f"SELECT o_orderkey, ntile(4) {_OVER} AS v FROM orders", "ntile")(lambda t: t.orders.select("o_orderkey", F.ntile(4).over(_by_customer()).cast("long").alias("v")))
 query(f"SELECT o_orderkey, lag(o_totalprice, 1) {_OVER} AS p, lead(o_orderkey, 2, -1) {_OVER} AS n FROM orders", "lag_lead")(
-    lambda t: t.orders.select("o_orderkey", F.lag("o_totalprice", 1).over(_W).alias("p"), F.lead("o_orderkey", 2, -1).over(_W).alias("n"))
+    lambda t: t.orders.select("o_orderkey", F.lag("o_totalprice", 1).over(_by_customer()).alias("p"), F.lead("o_orderkey", 2, -1).over(_by_customer()).alias("n"))
 )
 _RUN = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 query(f"SELECT o_orderkey, last_value(nullif(o_orderstatus, 'F') IGNORE NULLS) {_RUN} AS l, first_value(nullif(o_orderstatus, 'F') IGNORE NULLS) {_RUN} AS f FROM orders", "first_last_ignore_nulls")(
-    lambda t: (lambda w, x: t.orders.select("o_orderkey", F.last(x, True).over(w).alias("l"), F.first(x, True).over(w).alias("f")))(_W.rowsBetween(Window.unboundedPreceding, 0), F.nullif("o_orderstatus", F.lit("F")))
+    lambda t: (lambda w, x: t.orders.select("o_orderkey", F.last(x, True).over(w).alias("l"), F.first(x, True).over(w).alias("f")))(_by_customer().rowsBetween(Window.unboundedPreceding, 0), F.nullif("o_orderstatus", F.lit("F")))
 )
-query(f"SELECT o_orderkey, nth_value(o_orderkey, 2) {_RUN} AS v FROM orders", "nth_value")(lambda t: t.orders.select("o_orderkey", F.nth_value("o_orderkey", 2).over(_W.rowsBetween(Window.unboundedPreceding, 0)).alias("v")))
+query(f"SELECT o_orderkey, nth_value(o_orderkey, 2) {_RUN} AS v FROM orders", "nth_value")(lambda t: t.orders.select("o_orderkey", F.nth_value("o_orderkey", 2).over(_by_customer().rowsBetween(Window.unboundedPreceding, 0)).alias("v")))
 query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS v FROM orders", "rows_frame")(
-    lambda t: t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(_W.rowsBetween(-2, 1)), 4).alias("v"))
+    lambda t: t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(_by_customer().rowsBetween(-2, 1)), 4).alias("v"))
 )
 query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM part", "range_frame")(
     lambda t: t.part.select("p_partkey", F.count("*").over(Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(-3, 3)).alias("v"))

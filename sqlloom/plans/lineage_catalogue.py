@@ -139,7 +139,8 @@ _ANCHORED = [
 @query("SELECT o_orderkey AS script_id, CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN '{d}'" for i, (_, d, _) in enumerate(_ANCHORED)) + " END AS dialect, CAST(CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN {c}" for i, (_, _, c) in enumerate(_ANCHORED)) + " END AS DOUBLE) AS confidence FROM orders")
 def detect_dialect(t: Tables) -> DataFrame:
     sql = F.element_at(F.array(*[F.lit(s) for s, _, _ in _ANCHORED]), (C("o_orderkey") % 12 + 1).cast("int"))
-    return t.orders.select(C("o_orderkey").alias("script_id"), F.concat(F.lit("/* c "), C("o_orderkey"), F.lit(" ilike */ "), sql).alias("sql")).withColumn("d", detect.best(C("sql"))).select("script_id", "d.dialect", "d.confidence")
+    made = t.orders.select(C("o_orderkey").alias("script_id"), F.concat(F.lit("/* c "), C("o_orderkey"), F.lit(" ilike */ "), sql).alias("sql"))
+    return detect.detected(L.spread(made), "sql").select("script_id", "dialect", "confidence")
 
 
 # --- graph --------------------------------------------------------------------------------------
@@ -155,14 +156,14 @@ _LINKS = "SELECT p_partkey - 1 AS a, p_partkey AS b FROM part WHERE p_partkey %
 
 @query(f"WITH RECURSIVE e AS ({_LINKS}), r(seed, node, depth) AS (SELECT a, a, 0 FROM e WHERE a % 7 = 0 UNION ALL SELECT seed, b, depth + 1 FROM r JOIN e ON a = node) SELECT 'c.t_' || seed || '.v' AS seed, 'c.t_' || node || '.v' AS node, CAST(depth AS BIGINT) AS depth FROM r")
 def downstream_closure(t: Tables) -> DataFrame:
-    e = graph.column_graph(_chain(t))
+    e = graph.cut(graph.column_graph(_chain(t)))
     seeds = e.filter(C("src").rlike(r"_\d+\.v$") & (F.regexp_extract("src", r"_(\d+)\.v", 1).cast("long") % 7 == 0)).select(C("src").alias("node")).distinct()
     return graph.downstream(e, seeds).select("seed", "node", long("depth").alias("depth"))
 
 
 @query(f"WITH RECURSIVE e AS ({_LINKS}), r(seed, node, depth) AS (SELECT b, b, 0 FROM e WHERE b % 7 = 6 UNION ALL SELECT seed, a, depth + 1 FROM r JOIN e ON b = node) SELECT 'c.t_' || seed || '.v' AS seed, 'c.t_' || node || '.v' AS node, CAST(depth AS BIGINT) AS depth FROM r")
 def upstream_closure(t: Tables) -> DataFrame:
-    e = graph.column_graph(_chain(t))
+    e = graph.cut(graph.column_graph(_chain(t)))
     seeds = e.filter(F.regexp_extract("dst", r"_(\d+)\.v", 1).cast("long") % 7 == 6).select(C("dst").alias("node")).distinct()
     return graph.upstream(e, seeds).select("seed", "node", long("depth").alias("depth"))
 

@@ -109,3 +109,17 @@ def test_splitting():
 )
 def test_detection(sql, dialect, confidence):
     assert candidates(sql)[0] == (dialect, confidence)
+
+
+def test_detection_columns_agree_with_python(spark):
+    from pyspark.sql import functions as F
+
+    from sqlloom.functions import detect
+
+    texts = [c[0] for c in CASES] + ["select a from t where b ilike 'x'", "select top 5 a from [t]", "update a join b set c = 1", "select '_ob_' from dual", "delete from t using u", "select x -- ilike\n from t", "select /* oceanbase */ `a` from t", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, sql string")
+    rows = detect.detected(df).withColumn("all", detect.candidate_columns(detect.stripped(F.coalesce("sql", F.lit(""))))).collect()
+    for r in rows:
+        want = candidates(texts[r.i] or "")
+        assert [(c.dialect, c.confidence) for c in r.all] == want
+        assert (r.dialect, r.confidence) == want[0]
