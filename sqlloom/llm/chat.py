@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import TOKENIZER, Encoder
+from .packing import TOKENIZER, encoder
 
 BUDGET = 1024
 #: Turns and tokens of history that a later window repeats at most.
@@ -123,7 +123,7 @@ def format_windows(conversations: DataFrame, tokenizer: str | None = None, budge
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("first_turn", pa.int64()), ("n_turns", pa.int64()), ("n_repeated", pa.int32()), ("tokens", pa.int64()), ("loss", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path).encode
+        encode = encoder(path).encode
         out: list[dict] = []
         held = 0
         for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
