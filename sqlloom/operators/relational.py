@@ -137,6 +137,29 @@ def overwrite_partitions(table: DataFrame, new: DataFrame, by: Sequence[str]) ->
     return table.join(new.select(*by).distinct(), list(by), "left_anti").select(*table.columns).unionByName(new)
 
 
+def replace_where(table: DataFrame, condition: Column, new: DataFrame) -> DataFrame:
+    """INSERT REPLACE WHERE: rows that meet the condition give way to new."""
+    return delete_where(table, condition).unionByName(new)
+
+
+def replace_using(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """INSERT REPLACE USING: rows whose keys occur in new (nulls match nulls) give way to it."""
+    hit = new.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return table.join(hit, on, "left_anti").unionByName(new)
+
+
+def returning(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
+    """RETURNING: the rows that a statement wrote, projected."""
+    return after.exceptAll(before).select(*columns)
+
+
+def snapshot(table: DataFrame, version: str, at) -> DataFrame:
+    """VERSION / TIMESTAMP AS OF on a table that keeps its versions as rows: the last version up to `at`."""
+    seen = table.filter(F.col(version) <= F.lit(at))
+    return seen.join(seen.agg(F.max(version).alias(version)), version, "left_semi")
+
+
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """CHANGES: rows removed and added between two snapshots, with multiplicity."""
     removed = before.exceptAll(after).withColumn("change", F.lit("delete"))

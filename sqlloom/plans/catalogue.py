@@ -375,6 +375,41 @@ query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey
     lambda t: R.delete_using(t.orders, t.orders.filter("o_orderstatus = 'F'").orderBy("o_totalprice", "o_orderkey").limit(25), "o_orderkey").select("o_orderkey")
 )
 
+query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey", "join_hint")(lambda t: t.customer.join(t.nation.hint("broadcast"), C("c_nationkey") == C("n_nationkey")).select("c_custkey", "n_name"))  # 25 rows at any scale
+query("SELECT * FROM (SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey <> 2) UNION ALL SELECT n_nationkey + 500, n_regionkey FROM nation WHERE n_regionkey = 3", "insert_replace_where")(
+    lambda t: R.replace_where(t.nation.select("n_nationkey", "n_regionkey"), C("n_regionkey") == 2, t.nation.filter("n_regionkey = 3").select((C("n_nationkey") + 500).alias("n_nationkey"), "n_regionkey"))
+)
+query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey % 5 = 0", "insert_replace_using")(
+    lambda t: R.replace_using(t.supplier.select("s_suppkey", "s_name"), t.supplier.filter("s_suppkey % 5 = 0").select("s_suppkey", F.lit("new").alias("s_name")), ["s_suppkey"])
+)
+query("SELECT n_nationkey, 'x' AS n_name FROM nation WHERE n_regionkey = 1", "returning")(lambda t: R.returning(t.nation, R.update_where(t.nation, C("n_regionkey") == 1, {"n_name": F.lit("x")}), "n_nationkey", "n_name"))
+query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 2", "time_travel")(lambda t: R.snapshot(t.nation.select("n_nationkey", "n_regionkey"), "n_regionkey", 2).select("n_nationkey", "n_regionkey"))
+query("SELECT o_orderstatus, CAST(o_orderkey AS BIGINT) AS k FROM orders ORDER BY o_orderkey LIMIT 5", "top_percent_rows")(lambda t: t.orders.orderBy("o_orderkey").limit(5).select("o_orderstatus", C("o_orderkey").alias("k")))
+query("SELECT o_orderkey, k FROM (SELECT o_orderkey, o_custkey // 100 AS k FROM orders) WHERE k IN (1, 3)", "lateral_alias")(lambda t: t.spark.sql("select o_orderkey, o_custkey div 100 as k from {o} where o_custkey div 100 in (1, 3)", o=t.orders))
+query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, any_value(c_mktsegment) AS a, bool_and(c_acctbal > -2000) AS every, bit_or(c_nationkey) AS bits FROM customer GROUP BY 1", "any_every_bits")(
+    lambda t: t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.any_value("c_mktsegment").alias("a"), F.every(C("c_acctbal") > -2000).alias("every"), F.bit_or("c_nationkey").alias("bits"))
+)
+query("SELECT o_orderkey, overlay AS o, pos AS p FROM (SELECT o_orderkey, substr(o_orderpriority, 1, 2) || 'XX' || substr(o_orderpriority, 5) AS overlay, CAST(strpos(o_orderpriority, '-') AS INTEGER) AS pos FROM orders)", "overlay_position")(
+    lambda t: t.spark.sql("select o_orderkey, overlay(o_orderpriority placing 'XX' from 3 for 2) as o, position('-' in o_orderpriority) as p from {o}", o=t.orders)
+)
+query("SELECT o_orderkey, date_diff('month', TIMESTAMP '1992-01-01', o_orderdate) - 0 AS m, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS d FROM (SELECT o_orderkey, date_trunc('month', o_orderdate) AS o_orderdate FROM orders)", "timestamp_diff")(
+    lambda t: t.orders.select("o_orderkey", F.date_trunc("month", "o_orderdate").alias("x")).select("o_orderkey", F.timestamp_diff("MONTH", F.expr("timestamp '1992-01-01'"), "x").alias("m"), (F.dayofweek("x") - 1).cast("long").alias("d"))
+)
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1")
+def streaming_aggregate(t: Tables) -> DataFrame:
+    """The events as a stream, read to its end; the last state of the aggregate is the result."""
+    import uuid
+
+    batch = t.events
+    name = f"stream_{uuid.uuid4().hex}"
+    stream = t.spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    done = stream.groupBy("user_id").agg(F.count("*").alias("n"), money("value", "v")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    done.awaitTermination()
+    return t.spark.table(name)
+
+
 # --- pipes and user functions -------------------------------------------------------------------
 
 query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY 1", "pipe_chain")(lambda t: t.spark.sql("from {n} |> where n_nationkey > 3 |> aggregate count(*) as n group by n_regionkey", n=t.nation))

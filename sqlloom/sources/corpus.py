@@ -71,7 +71,13 @@ def insert(df: DataFrame, table: str, overwrite: bool = False, by_name: bool = T
     columns = spark.table(table).columns
     df = df.select(*columns) if by_name else df
     if overwrite:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")
+        try:
+            df.write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set(key, before)
     else:
         df.write.insertInto(table)
 

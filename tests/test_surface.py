@@ -111,3 +111,18 @@ def test_queries_without_sql(spark, name):
     import __spark_entry__ as entry
 
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_loads_and_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    corpus.copy_to(rows, str(tmp_path / "csv"), header="true")
+    corpus.load_data(spark, str(tmp_path / "csv"), "k int, v string", str(tmp_path / "t"), header="true")
+    corpus.load_data(spark, str(tmp_path / "csv"), "k int, v string", str(tmp_path / "t"), header="true")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    spark.sql("drop table if exists made")
+    corpus.create_table_as(rows, "made", partition_by=("k",))
+    corpus.insert(spark.createDataFrame([("z", 2), ("y", 3)], "v string, k int"), "made", overwrite=True)
+    assert sorted(map(tuple, spark.table("made").select("k", "v").collect())) == [(1, "a"), (2, "z"), (3, "y")]
+    corpus.insert(rows, "made")
+    assert spark.table("made").count() == 5
+    spark.sql("drop table made")
