@@ -55,17 +55,38 @@ def sized(df: DataFrame, items: Column | None = None) -> DataFrame:
 
 
 def lookup(df: DataFrame, items: Column | None = None) -> DataFrame:
-    """df, written and then sized: the narrow side of a join on a hot key. Over the limit both sides
-    are plain exchanges, which adaptive execution can split where a key has very many rows."""
+    """df, written and then sized: the narrow side of a join whose other side is wide."""
     return sized(materialize(df), items)
 
 
+def joined_ranges(ranges: Column, first: str, last: str, gap: int = 0) -> Column:
+    """Ranges (structs with two numbers, in an array) joined where one begins within `gap` of another's end."""
+    tail = lambda a: F.element_at(a, -1)
+    grown = lambda a, r: F.array_append(F.slice(a, 1, F.size(a) - 1), F.struct(tail(a)[first].alias(first), F.greatest(tail(a)[last], r[last]).alias(last)))
+    step = lambda a, r: F.when((F.size(a) > 0) & (r[first] <= F.coalesce(F.try_element_at(a, F.lit(-1))[last], F.lit(-2)) + gap), grown(a, r)).otherwise(F.array_append(a, r))
+    order = F.array_sort(F.transform(ranges, lambda r: F.struct(r[first].cast("int").alias(first), r[last].cast("int").alias(last))))
+    return F.aggregate(order, F.array().cast(f"array<struct<{first}:int,{last}:int>>"), step)
+
+
+#: Bytes of rows that a Python worker is handed at once.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches end by bytes too, so that long texts do not fill a worker's memory.
+    A bound that the session has already is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """`rid` long plus the named columns (doc_id and text by default).
 
     rid is doc_id where that is unique and never null, which a count over the one column shows;
     else the rows are written once with a row number, so that repeated or null ids stay apart.
     """
+    bounded_batches(docs.sparkSession)
     columns = columns or ("doc_id", "text")
     rows = docs.select(*columns)
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))

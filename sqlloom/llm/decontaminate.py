@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import blob, keyed, lookup
+from .common import blob, bounded_batches, keyed, lookup
 
 WINDOW = 8
 MIN_SHARE, MIN_WORDS = 0.5, 13
@@ -211,6 +211,7 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, bench: DataFrame, held_windows: int = HELD_WINDOWS) -> DataFrame:
     """docs(doc_id, text, ...), all columns, with n_hits and the leaked items."""
+    bounded_batches(docs.sparkSession)
     bench = bench.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null").distinct()
     words = bench.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")) + 1)).first()[0] or 0
     if words <= held_windows:  # a bound on the windows and, at a few bytes a word, on the texts

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import blob, materialize
+from .common import blob, bounded_batches, materialize
 
 BITS = 22
 #: Labelled rows that a model is trained on at most; those of least hash are taken.
@@ -49,6 +49,7 @@ def vectors(docs: DataFrame, featurizer: Callable[[], Featurizer], *keep: str) -
             columns = [pa.array([x[0] for x in made], pa.list_(pa.int32())), pa.array([x[1] for x in made], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in keep), *columns], [*keep, "at", "value"])
 
+    bounded_batches(docs.sparkSession)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     return docs.select("text", *keep).mapInArrow(run, ", ".join([*fields, "at array<int>", "value array<float>"]))
 
@@ -110,6 +111,7 @@ def collected(frame: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float]]:
 
 def scored(docs: DataFrame, featurizer: Callable[[], Featurizer], weights: np.ndarray) -> DataFrame:
     """doc_id and score (a sparse dot product through the logistic function) of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS + 1 floats
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -76,6 +76,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
 
     Only documents longer than capacity are cut; their first piece takes the remainder.
     """
+    bounded_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import blob, components, keyed, lookup, materialize
+from .common import blob, bounded_batches, components, keyed, lookup, materialize
 
 K = 3
 SEED = 42
@@ -55,6 +55,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and the fingerprint as a signed 64-bit integer."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def links(distinct: DataFrame, k: int = K) -> DataFrame:
     first = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), part(i, width, fp).alias("value")) for i in range(blocks)])).alias("r")).select("fp", "r.*")
     sizes = first.groupBy("block", "value").agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > HOT).select("block", "value", F.lit(True).alias("hot"))  # at most blocks * distinct / HOT
-    routed = first.join(lookup(hot), ["block", "value"], "left")
+    routed = first.join(materialize(hot), ["block", "value"], "left")
     # The other bits, with the block's own moved out, in k + 1 parts again.
     low = F.expr(f"fp & (shiftleft(1L, block * {width}) - 1)")
     high = F.when(F.col("block") == blocks - 1, F.lit(0)).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, (block + 1) * {width}), block * {width})"))
@@ -184,8 +185,8 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
     known = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     known = materialize(known)
     tops = known.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = known.select("fp", "label").join(lookup(tops), "label").select("fp", "component_id")
-    return prints.join(lookup(ids), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = known.select("fp", "label").join(materialize(tops), "label").select("fp", "component_id")
+    return prints.join(materialize(ids), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import blob, keyed, lookup, materialize
+from .common import blob, joined_ranges, keyed, lookup, materialize
 
 SPAN = 400
 GRAM = 24
@@ -153,19 +153,19 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(rows)
     inner = rows.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select("inner")
     outer = rows.filter("outer is not null").groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer", F.lit(True).alias("all"))
-    judged = materialize(rows.join(lookup(inner), "inner", "left_semi").join(lookup(outer), "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
+    judged = materialize(rows.join(materialize(inner), "inner", "left_semi").join(materialize(outer), "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
     left = judged.filter("not all")
     wanted = left.select("inner").distinct()
-    partners = judged.filter("all").join(lookup(wanted), "inner", "left_semi")
+    partners = judged.filter("all").join(materialize(wanted), "inner", "left_semi")
     own = ["rid", "at", "lo", "hi"]
     one = partners.groupBy("outer").agg(F.min(F.struct(*own)).alias("o")).select("o.*")
     return judged.filter("all").select("rid", "lo", "hi"), left.select(*own).unionByName(one)
 
 
 def placed(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
-    """Texts that have open places, with them. Only (rid, places) move unless there are very many."""
+    """Texts that have open places, with them."""
     places = open_rows.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("open"))
-    return texts.join(lookup(places, F.size("open")), "rid")
+    return texts.join(places, "rid")
 
 
 def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPAN) -> DataFrame:
@@ -353,6 +353,9 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
 def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
     """(rid, lo, hi): ranges of starts whose span bytes start elsewhere too, for texts(rid, text)."""
     sure, rows = settle(anchor_rows(texts, span, repeat_filter(anchor_rows(texts, span))))
+    # Only texts with open places are read again; they are written once, without the others.
+    rows = materialize(rows)
+    texts = materialize(texts.join(lookup(rows.select("rid").distinct()), "rid", "left_semi"))
     for width in WIDTHS[1:]:
         more, rows = settle(run_rows(texts, rows, width, span))
         sure = sure.unionByName(more)
@@ -396,11 +399,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
     long = rows.filter(F.octet_length(text) >= span)
     hashed = materialize(long.select("rid", F.sha2(text.cast("binary"), 256).alias("copy")))
     copies = hashed.groupBy("copy").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    whole = materialize(hashed.join(lookup(copies), "copy").select("rid", "first"))
+    whole = materialize(hashed.join(materialize(copies), "copy").select("rid", "first"))
     # Later copies leave the search: the first stands for them.
     later = whole.filter("rid <> first").select("rid")
     texts = long.select("rid", text.alias("text")).join(lookup(later), "rid", "left_anti")
-    found = repeated_starts(texts, span).groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    found = repeated_starts(texts, span).groupBy("rid").agg(joined_ranges(F.collect_list(F.struct("lo", "hi")), "lo", "hi", 1).alias("ranges"))
     marks = lookup(found.join(whole.select("rid", F.lit(True).alias("whole")), "rid", "full_outer"), F.coalesce(F.size("ranges"), F.lit(0)))
     out = rows.select("rid", "doc_id", text.alias("text")).join(marks, "rid", "left")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
