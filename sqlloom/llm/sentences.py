@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import blob, keyed, lookup, materialize
+from .common import blob, joined_ranges, keyed, lookup, materialize
 
 SPAN = 2
 MIN_WORDS = 20
@@ -77,14 +77,14 @@ def repeated(found: DataFrame) -> DataFrame:
     """rid, first, last of runs that are not the first of their hash. Counting combines in each task;
     the join keeps a hash that very many rows hold on one side only, where it can be split."""
     firsts = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("least")).filter("n > 1").select("hash", "least")
-    return found.join(lookup(firsts), "hash").filter(F.struct("rid", "first") != F.col("least")).select("rid", "first", "last")
+    return found.join(materialize(firsts), "hash").filter(F.struct("rid", "first") != F.col("least")).select("rid", "first", "last")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_sentences, n_removed, the removed sentence numbers, and the text that stays."""
     rows = keyed(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(hashed_runs(rows.select("rid", "text"), span, least))
-    marks = lookup(repeated(found).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("spans")), F.size("spans"))
+    marks = lookup(repeated(found).groupBy("rid").agg(joined_ranges(F.collect_set(F.struct("first", "last")), "first", "last").alias("spans")), F.size("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string()), ("text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
