@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialize
+from .common import keyed, lookup, materialize
 
 KINDS = ("assign", "access", "hex", "mixed")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,14 +66,18 @@ def spans_of(text: Column) -> tuple[Column, Column]:
     return base, mixed
 
 
+def _outside() -> Column:
+    """Mixed candidates that no base span touches."""
+    return F.filter("mixed", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+
+
 def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Written once: row number, doc_id, owner, repository, base and mixed spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base, mixed = spans_of(F.col("t"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("t"))
     rows = rows.select("doc_id", "owner", "repository", base.alias("base"), mixed.alias("mixed"))
-    outside = F.filter("mixed", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return materialize(rows.withColumn("mixed", outside).withColumn("row", F.monotonically_increasing_id()))
+    return materialize(rows.withColumn("mixed", _outside()).withColumn("row", F.monotonically_increasing_id()))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     each = found.select("row", F.explode(F.concat("base", "mixed")).alias("s")).select("row", "s", F.xxhash64("s.value").alias("hash"))
     live = F.col("n_owners") <= owners
     # A hash that a third of all rows hold is one row on the right; adaptive execution splits the left.
-    verdicts = each.join(lookup(ownership(found)), "hash").groupBy("row").agg(
+    verdicts = each.join(materialize(ownership(found)), "hash").groupBy("row").agg(
         F.count_if(live).alias("n_live"),
         F.count_if(~live).alias("n_example"),
         F.collect_list(F.when(live & (F.col("s.kind") == 3), F.col("s"))).alias("added"),
@@ -121,16 +125,13 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", o
     """docs, all columns, with every span's text replaced by <kind>. Texts without spans are untouched.
 
     The masking is a fold over the spans by start; overlapping spans are masked together."""
-    names = docs.columns
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    plain = numbered.select(*[F.col(n) for n in names], "__row")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base, mixed = spans_of(F.col("t"))
-    found = plain.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), text.alias("t"), F.col("__row").alias("row"))
-    found = found.select("doc_id", "owner", "repository", "row", base.alias("base"), mixed.alias("mixed"))
-    outside = F.filter("mixed", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    found = materialize(found.withColumn("mixed", outside))
-    spans = judged(found, owners).filter(F.size("spans") > 0).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    own = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.col("text").cast("string").alias("text"), whole)
+    rows = keyed(own, *own.columns)
+    base, mixed = spans_of(F.coalesce("text", F.lit("")))
+    found = rows.select(F.col("rid").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "owner", "repository", base.alias("base"), mixed.alias("mixed"))
+    found = materialize(found.withColumn("mixed", _outside()))
+    spans = lookup(judged(found, owners).filter(F.size("spans") > 0).select(F.col("row").alias("rid"), F.col("spans").alias("__spans")), F.size("__spans"))
     labels = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     step = lambda s, x: F.struct(
@@ -138,8 +139,9 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", o
         F.when(x["start"] >= s["at"], F.concat(s["parts"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.element_at(labels, x["kind"] + 1)))).otherwise(s["parts"]).alias("parts"),
     )
     masked = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.expr("substring(text, 1)").substr(s["at"] + 1, F.length("text"))))
-    out = plain.join(spans, "__row", "left").withColumn("text", F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text")))
-    return out.select(*names)
+    out = rows.select("rid", "text", "whole").join(spans, "rid", "left")
+    masked = F.when(F.col("__spans").isNotNull(), masked).otherwise(F.col("text"))
+    return out.select(*[masked.alias("text") if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
