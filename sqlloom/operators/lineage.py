@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import split_statements
 from ..plans.statements import parse_script
 
 VERSION = "0.1"
@@ -78,6 +79,18 @@ def lineage(scripts: DataFrame, sql: str = "sql", script_id: str = "script_id",
     return spread(scripts.select(F.col(script_id).cast("long"), F.col(sql).cast("string"))).mapInArrow(run, RESULT)
 
 
+def split(scripts: DataFrame, sql: str = "sql", script_id: str = "script_id") -> DataFrame:
+    """script_id, stmt_idx, statement of each script; null scripts have none."""
+    schema = pa.schema([("script_id", pa.int64()), ("stmt_idx", pa.int32()), ("statement", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, s) for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) for k, s in enumerate(split_statements(text or ""))]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return scripts.select(F.col(script_id).cast("long"), F.col(sql).cast("string")).mapInArrow(run, "script_id long, stmt_idx int, statement string")
+
+
 def full_name(table: Column) -> Column:
     return F.concat_ws(".", table["catalog"], table["schema"], table["name"])
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import detect
-from ..functions.text import split_statements
 from ..operators import graph, lineage as L
 from .catalogue import ORACLE, QUERIES, C, Tables, long, query
 
@@ -124,9 +123,8 @@ def bad_sql_isolation(t: Tables) -> DataFrame:
 
 @query(_expected("nation", "n_nationkey", "true", ["stmt_idx", "statement"], [(0, "select ';' from t_{k}"), (1, "-- a;b\n select 2"), (2, "select `;` /* ; */ from u")]))
 def split_script(t: Tables) -> DataFrame:
-    cut = F.udf(split_statements, "array<string>")
     made = scripts(t, "nation", "n_nationkey", "select ';' from t_{k} ;\n-- a;b\n select 2;;  -- only\n; select `;` /* ; */ from u")
-    return made.select("script_id", F.posexplode(cut("sql")).alias("stmt_idx", "statement")).select("script_id", long("stmt_idx").alias("stmt_idx"), "statement")
+    return L.split(made).select("script_id", long("stmt_idx").alias("stmt_idx"), "statement")
 
 
 _ANCHORED = [
