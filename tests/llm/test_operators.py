@@ -342,6 +342,52 @@ def test_rules(spark):
     assert rules.judge(df).count() == len(texts) and rules.judge(df.limit(0)).count() == 0
 
 
+def test_bands_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows = [(r.doc_id, r.text or "", r.lang) for r in rows]
+    order, size = rules.ORDER, rules.SYMBOLS
+    coded = {i: [int(c) for c in rules._TABLE[np.minimum([ord(c) for c in "\n" * (order - 1) + t], len(rules._TABLE) - 1)]] for i, t, _ in rows}
+    full = collections.Counter(tuple(c[k : k + order]) for c in coded.values() for k in range(len(c) - order + 1))
+    levels = [full]
+    for _ in range(order - 1):
+        levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+    cuts, sums, held = [], [], []
+    for counts in levels:
+        n = collections.Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] and n[3] else None
+        d = [0, 0.5, 1.0, 1.5] if y is None else [0, *(min(max(k - (k + 1) * y * ((n[k + 1] or n[k]) if k == 3 else n[k + 1]) / n[k], lo), hi) for k, lo, hi in ((1, 0.05, 0.95), (2, 0.1, 1.9), (3, 0.15, 2.9)))]
+        total, back = collections.Counter(), collections.Counter()
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            back[g[:-1]] += d[min(c, 3)]
+        cuts.append(d)
+        sums.append(total)
+        held.append(back)
+
+    def p(g):
+        k = len(g) - 1
+        lower = p(g[1:]) if k else 1 / size
+        total, c = sums[k][g[:-1]], levels[k][g]
+        return lower if not total else (c - cuts[k][min(c, 3)]) / total + held[k][g[:-1]] / total * lower
+
+    log = {g: -np.log(p(g)) for g in full}
+    lp = {i: np.mean([log[tuple(c[k : k + order])] for k in range(len(c) - order + 1)]) for i, c in coded.items() if len(c) >= order}
+    count = {i: rule_counts(t) for i, t, _ in rows}
+    passed = {i for i, n in count.items() if n[0] >= 50 and 100 * n[4] <= 50 * n[0]}
+    kept = set()
+    for lang in {r[2] for r in rows}:
+        own = sorted(lp[i] for i, _, x in rows if x == lang and i in passed)
+        if own:
+            lo, mid, hi = (own[max(0, -(-len(own) * q // 4) - 1)] for q in (1, 2, 3))
+            kept |= {i for i, _, x in rows if x == lang and i in passed and abs(lp[i] - mid) <= max(hi - lo, rules.FLOOR) * (rules.WIDTH + rules.SPREAD / count[i][0] ** 0.5)}
+    found = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert all(abs(found[i].log_perplexity - x) < 1e-4 for i, x in lp.items())
+    assert {i for i, r in found.items() if r.kept} == kept
+    truth = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    out = passed - kept
+    assert sum(truth.get(i) == 0 for i in out) >= 5 and sum(truth.get(i) == 1 for i in out) <= 1
+
+
 def test_kneser_ney_is_a_distribution(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = rules.fit(d)
