@@ -2,9 +2,11 @@
 
 A text is cut into sentences (at line ends and after . ! ? followed by a blank). Every run of SPAN
 consecutive sentences is hashed, over words joined by one blank; runs of fewer than MIN_WORDS words are
-lengthened by the sentences that follow until they have as many, so that a few short exclamations do
-not count as a passage. Hashes meet globally; of each repeated run the first (least row, then place)
-stays, and sentences covered by any other occurrence go.
+lengthened by the sentences that follow, and again by those before, until they have as many, so that a
+few short exclamations do not count as a passage and one at a passage's end is in a run inside it. A
+sentence of MIN_WORDS words is a run by itself. So all whole sentences of a repeated passage are covered
+if they have MIN_WORDS words together. Hashes meet globally; of each repeated run the first (least row,
+then place) stays, and sentences covered by any other occurrence go.
 
 Nulls are empty texts; texts with fewer than SPAN sentences are one run if they have MIN_WORDS words,
 so exact copies of short texts are found too; repeated rows and ids are separate rows; an empty table
@@ -42,15 +44,22 @@ def runs(text: bytes, span: int = SPAN, least: int = MIN_WORDS) -> tuple[list[in
     first, last, hashes = [], [], []
     joined = [b" ".join(w) for w in words]
     filled = [i for i in range(n) if words[i]]
+    found = {(i, i + 1) for i in filled if sizes[i + 1] - sizes[i] >= least}
     for k, i in enumerate(filled):
-        # `span` sentences with words, and as many more as it takes.
+        # `span` sentences with words, and as many more after or before them as it takes.
         if k + span > len(filled) and not (k == 0 and len(filled) < span):
             break
         end = filled[min(k + span, len(filled)) - 1] + 1
-        if sizes[end] - sizes[i] < least:
-            end = int(np.searchsorted(sizes, sizes[i] + least))
-            if end > n:
-                break
+        if sizes[end] - sizes[i] >= least:
+            found.add((i, end))
+            continue
+        after = int(np.searchsorted(sizes, sizes[i] + least))
+        if after <= n:
+            found.add((i, after))
+        before = int(np.searchsorted(sizes, sizes[end] - least, "right")) - 1
+        if before >= 0:
+            found.add((before, end))
+    for i, end in sorted(found):
         first.append(i)
         last.append(end)
         hashes.append(xxh3_64_intdigest(b" ".join(x for x in joined[i:end] if x)) - (1 << 63))

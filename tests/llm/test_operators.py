@@ -286,6 +286,23 @@ def test_sentence_spans(spark):
     assert sentences.remove_repeats(df).count() == len(texts) and sentences.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeated_words_leave_with_their_sentences(spark):
+    own = random.Random(8)
+    word = lambda: "".join(own.choice("abcdefgh") for _ in range(7))
+    said = lambda n: " ".join(word() for _ in range(n)) + ". "
+    long, tail = said(70), said(30) + said(25) + said(4) + said(3) + said(5)
+    texts = [said(30) + long + said(25) + tail + said(40)]
+    texts += [said(22) + long + said(31), said(24) + tail + said(21), said(9) + said(6) + tail + said(2) + said(28), said(6) + said(8) + said(23) + said(26)]
+    found = {r.doc_id: r.text for r in sentences.remove_repeats(docs_of(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        words = t.split()
+        covered = {j for p in range(len(words) - 49) if tuple(words[p : p + 50]) in seen for j in range(p, p + 50)}
+        seen |= {tuple(words[p : p + 50]) for p in range(len(words) - 49)}
+        assert found[i].split() == [w for j, w in enumerate(words) if j not in covered]
+        assert bool(covered) == (i in (1, 2, 3))
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 ITEM = "Yesterday Jon bought 3 apples and 5 pears for 4 dollars at the old market while Jon waited 2 hours near it"
