@@ -3,8 +3,8 @@
 Voters say yes or nothing on a text: fixed lexicons of insults, surface patterns, and lexicons of
 word beginnings that training rows show to be far more frequent in toxic texts. A generative label
 model (class prior; each voter's rates of yes in toxic and in other texts; pairwise correlation given
-the class) is fitted by expectation maximisation on voters' answers over a bounded sample; voters
-that repeat each other share one vote. Its posteriors are the soft labels of a linear classifier on
+the class) is fitted by expectation maximisation on voters' answers over a bounded sample of rows with and
+without labels (known labels stay, the others are inferred); voters that repeat each other share one vote. Its posteriors are the soft labels of a linear classifier on
 hashed words and word beginnings, trained by FTRL, which scores every text.
 
 Labels are read only for rows outside the held-out fold; language, source and id are never inputs.
@@ -16,11 +16,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import blob, bounded_batches
 from .linear import BITS, SAMPLE, Featurizer, Ftrl, fold, labelled, scored, slot
 
 FOLDS, HELD_OUT = 5, 0
@@ -102,14 +105,15 @@ def induce(texts: list[bytes], y: np.ndarray, most: int = INDUCED) -> list[bytes
     return out
 
 
-def votes(texts: list[bytes], induced: list[bytes]) -> np.ndarray:
-    """A row for each text, a column for each voter: 1 for yes, 0 for nothing."""
+def votes(texts: list[bytes], patterns: list[list[bool]], induced: list[bytes]) -> np.ndarray:
+    """A row for each text (its words will do), a column for each voter: 1 for yes, 0 for nothing.
+    patterns: the answers of PATTERNS on the whole text."""
     lexicons = [{w.encode() + b"$" for w in words.split()} for words in LEXICONS.values()] + [{t} for t in induced]
     out = np.zeros((len(texts), len(lexicons) + len(PATTERNS)), np.int8)
     for i, text in enumerate(texts):
         own = terms(text)
         out[i, : len(lexicons)] = [not own.isdisjoint(x) for x in lexicons]
-        out[i, len(lexicons) :] = [p.search(text) is not None for p in PATTERNS]
+        out[i, len(lexicons) :] = patterns[i]
     return out
 
 
@@ -167,16 +171,49 @@ def telling(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     return (low > 1.3) & (counts[1] >= max(3, n1 / 100))
 
 
+def voted(rows: DataFrame) -> DataFrame:
+    """id, y, the distinct lower-case words and the answers of PATTERNS of rows(id, text, y), from whole texts."""
+    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("words", pa.binary()), ("patterns", pa.list_(pa.bool_()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = blob(batch["text"])
+            words = [b" ".join(sorted(set(t.lower().split()))) for t in texts]
+            yield pa.record_batch([batch["id"], batch["y"], pa.array(words, pa.binary()), pa.array([[p.search(t) is not None for p in PATTERNS] for t in texts], pa.list_(pa.bool_()))], schema=schema)
+
+    bounded_batches(rows.sparkSession)
+    return rows.select(F.col("id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(run, "id long, y int, words binary, patterns array<boolean>")
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """id, text and a null y of at most `sample` documents outside the held-out fold that have no label."""
+    train = fold(F.col("doc_id"), FOLDS) != HELD_OUT
+    known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
+    ids = docs.filter(train & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct().join(known, "id", "left_anti")
+    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "id").select("id", "text", F.lit(None).cast("int").alias("y"))
+
+
+def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+    """Words, labels (NaN where there is none), votes and induced voters of the training rows."""
+    known = labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD_OUT, sample)
+    chosen = voted(known.unionByName(unlabelled(docs, labels, sample // 3)))
+    rows = chosen.toPandas().sort_values(["id", "words"], kind="stable")
+    texts, y = [bytes(w) for w in rows["words"]], rows["y"].to_numpy(float)
+    told = np.flatnonzero(~np.isnan(y))
+    induced = induce([texts[i] for i in told], y[told]) if len(told) else []
+    return texts, y, votes(texts, rows["patterns"].tolist(), induced), induced
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the classifier, from at most `sample` rows outside the held-out fold."""
-    chosen = labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD_OUT, sample)
-    # Whole texts of a bounded number of rows; words are all that is used, so each text comes as its set of words.
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"))
-    rows = chosen.select("id", "y", F.array_join(words, " ").alias("text")).toPandas().sort_values("id", kind="stable")
-    texts, y = [t.encode() for t in rows["text"]], rows["y"].to_numpy(float)
+    """Weights of the classifier, from at most `sample` labelled rows outside the held-out fold and a third
+    as many without a label."""
+    texts, y, v, _ = training(docs, labels, sample)
     if not len(texts):
-        return np.zeros((1 << BITS) + 1, np.float32)
-    v = votes(texts, induce(texts, y))
+        weights = np.zeros((1 << BITS) + 1, np.float32)
+        weights[-1] = np.log(0.05 / 0.95)  # nothing is known: not toxic
+        return weights
     soft = LabelModel().fit(v, y).posterior(v)
     make = featurizer()
     rows = [make(text)[0].astype(np.int64) for text in texts]

@@ -433,6 +433,27 @@ def test_classifiers(spark):
         assert module.classify(df, labels.limit(0)).count() == len(texts) and module.classify(df.limit(0), labels).count() == 0
 
 
+def test_toxicity_labels_by_em(spark):
+    texts = ["you met him and then. " * 3 + "well, you utter idiot", "you said it. the idiot", "@#$%! now", None]
+    rows = toxicity.voted(docs_of(spark, texts).selectExpr("doc_id as id", "text", "1 as y")).sort("id").collect()
+    assert [list(r.patterns) for r in rows] == [[p.search((t or "").encode()) is not None for p in toxicity.PATTERNS] for t in texts]
+    # Hidden labels are inferred from votes that fall together.
+    r = np.random.default_rng(4)
+    y = (r.random(3000) < 0.2).astype(float)
+    v = (r.random((3000, 6)) < np.where(y[:, None] > 0.5, 0.5, 0.02)).astype(np.int8)
+    model = toxicity.LabelModel().fit(v, np.full(3000, np.nan))
+    p, n = model.posterior(v), v.sum(1)
+    assert (p[n > 2] > 0.9).all() and (p[n == 0] < 0.5).all() and p[y > 0.5].mean() > 3 * p[y < 0.5].mean()
+    d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    _, known, _, _ = toxicity.training(d, labels, toxicity.SAMPLE)
+    assert np.isnan(known).sum() > 100 and (~np.isnan(known)).sum() > 100
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    found = toxicity.classify(d, labels.limit(0)).collect()
+    assert 0 < sum(r.predicted for r in found) < len(found) / 4
+    told = [truth[r.doc_id] for r in found if r.predicted and r.doc_id in truth]
+    assert sum(told) >= 0.8 * len(told) > 0
+
+
 def test_ftrl_learns_and_stays_sparse():
     from sqlloom.llm.linear import Ftrl
 
