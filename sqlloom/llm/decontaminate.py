@@ -174,22 +174,33 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
     no benchmark window equals are dropped in the join; a window that very many documents hold meets
     a handful of benchmark rows."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([min(WINDOW, len(t.split())) for t in blob(batch["text"])], pa.int32())], names=["size"])
+
+    # At most WINDOW - 1 numbers: short items are looked for inside documents too.
+    short = sorted(r["size"] for r in bench.select("text").mapInArrow(lengths, "size int").filter((F.col("size") > 0) & (F.col("size") < WINDOW)).distinct().collect())
+
+    def cut(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        """Windows of each of `sizes`; without sizes, those of an item by its own length."""
         own = _Kinds()
         for batch in batches:
-            ids, ws, ps = [], [], []
+            ids, ws, ps, ss = [], [], [], []
             for row, text in zip(batch["id"].to_pylist(), blob(batch["text"]), strict=True):
-                w = windows(template(text, own)[1]).view(np.int64)
-                ids.append(np.full(len(w), row))
-                ws.append(w)
-                ps.append(np.arange(len(w)))
+                h = template(text, own)[1]
+                for size in sizes or [min(WINDOW, len(h))]:
+                    w = windows(h, size).view(np.int64) if len(h) >= size else np.empty(0, np.int64)
+                    ids.append(np.full(len(w), row))
+                    ws.append(w)
+                    ps.append(np.arange(len(w)))
+                    ss.append(np.full(len(w), size))
             if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, ws, ps)], names=["id", "w", "place"])
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, ws, ps, ss)], names=["id", "w", "place", "size"])
 
-    ddl = "id long, w long, place long"
-    left = docs.select(F.col("rid").alias("id"), "text").mapInArrow(cut, ddl).select(F.col("id").alias("rid"), "w", F.col("place").alias("at"))
-    right = bench.select(F.col("item_id").alias("id"), "text").mapInArrow(cut, ddl).select(F.col("id").alias("item"), "w", "place")
-    hits = left.join(right, "w").groupBy("rid", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
+    ddl = "id long, w long, place long, size long"
+    left = docs.select(F.col("rid").alias("id"), "text").mapInArrow(lambda b: cut(b, [WINDOW, *short]), ddl).select(F.col("id").alias("rid"), "w", F.col("place").alias("at"), "size")
+    right = bench.select(F.col("item_id").alias("id"), "text").mapInArrow(lambda b: cut(b, []), ddl).select(F.col("id").alias("item"), "w", "place")
+    hits = left.join(right, "w").groupBy("rid", "item").agg(F.collect_list(F.struct("at", "place", "size")).alias("hits"))
     texts = hits.join(bench.select(F.col("item_id").alias("item"), F.col("text").alias("item_text")), "item")
     grouped = texts.groupBy("rid").agg(F.collect_list(F.struct("item", "item_text", "hits")).alias("found"))
 
@@ -200,7 +211,7 @@ def _joined(docs: DataFrame, bench: DataFrame) -> DataFrame:
             for text, found in zip(blob(batch["text"]), batch["found"].to_pylist(), strict=True):
                 found = found or []
                 hits = {f["item"]: [(h["at"] - h["place"], h["place"]) for h in f["hits"]] for f in found}
-                n_hits.append(len({h["at"] for f in found for h in f["hits"]}))
+                n_hits.append(len({(h["at"], h["size"]) for f in found for h in f["hits"]}))
                 leaks.append(_judge(text, own, hits, {f["item"]: (f["item_text"] or "").encode() for f in found}))
             yield pa.record_batch([batch["rid"], pa.array(n_hits, pa.int64()), pa.array(leaks, pa.list_(pa.int64()))], names=["rid", "n_hits", "items"])
 

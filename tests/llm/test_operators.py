@@ -328,6 +328,16 @@ def test_decontamination(spark, held):
     assert decontaminate.scan(df, bench, held).count() == len(texts)
 
 
+@pytest.mark.parametrize("held", [decontaminate.HELD_WINDOWS, 0])
+def test_short_items_inside_long_documents(spark, held):
+    items = [(1, "blue tiny thing"), (2, "seven odd old words make this item"), (3, "lone"), (4, "blue tiny thing"), (5, ITEM)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(40) + " a blue tiny thing " + prose(30), prose(20) + " seven odd old words make this item " + prose(20) + " blue tiny thing", "lone", "blue tiny", "We met. " + ITEM + " and one lone blue tiny thing", prose(60)]
+    found = {r.doc_id: (r.n_hits, r.items) for r in decontaminate.scan(docs_of(spark, texts), bench, held).collect()}
+    n = len(ITEM.split()) - 8 + 1
+    assert found == {0: (1, "1,4"), 1: (2, "1,2,4"), 2: (1, "3"), 3: (0, ""), 4: (n + 2, "1,3,4,5"), 5: (0, "")}
+
+
 # --- rules and classifiers ----------------------------------------------------------------------
 
 
