@@ -83,10 +83,10 @@ def windows(turns: Iterator[tuple[str, str]], size, budget: int = BUDGET) -> Ite
         if not pending:
             break
         take = bisect_right(sums, room) - 1
-        if not take and repeated:  # the turn comes before its context: without history, then alone
+        if take < 1 and repeated:  # the turn comes before its context: without history, then alone
             repeated = repeated[:1] if system and at else []
             take = bisect_right(sums, budget - sum(t[3] for t in repeated)) - 1
-            repeated = repeated if take else []
+            repeated = repeated if take >= 1 else []
         take = max(1, take)
         parts, loss, place = [], [], 0
         for i, (text, start, end, _, role) in enumerate(repeated + pending[:take]):

@@ -502,6 +502,18 @@ def test_chat(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def test_only_a_turn_longer_than_the_budget_exceeds_it():
+    size = lambda t: len(t.split())
+    for system, budget in ((150, 200), (195, 200), (260, 200)):
+        turns = [("system", "s " * system)] + [("user" if k % 2 else "assistant", "t " * n) for k, n in enumerate((30, 60, 90, 120, 20, 250, 40, 70, 199, 5))]
+        found = list(chat.windows(iter(turns), size, budget))
+        assert sum(w["n_turns"] for w in found) == len(turns)
+        assert [(r, t) for w in found for r, t in chat.read_turns(w["text"])[w["n_repeated"] :]] == turns
+        for w in found:
+            alone = w["n_turns"] == 1 and w["n_repeated"] == 0 and size(chat.write_turn(*turns[w["first_turn"]])[0]) > budget
+            assert w["tokens"] <= budget or alone, (system, w)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
