@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +61,28 @@ def lookup(df: DataFrame, items: Column | None = None) -> DataFrame:
     return sized(materialize(df), items)
 
 
-def joined_ranges(ranges: Column, first: str, last: str, gap: int = 0) -> Column:
-    """Ranges (structs with two numbers, in an array) joined where one begins within `gap` of another's end."""
-    tail = lambda a: F.element_at(a, -1)
-    grown = lambda a, r: F.array_append(F.slice(a, 1, F.size(a) - 1), F.struct(tail(a)[first].alias(first), F.greatest(tail(a)[last], r[last]).alias(last)))
-    step = lambda a, r: F.when((F.size(a) > 0) & (r[first] <= F.coalesce(F.try_element_at(a, F.lit(-1))[last], F.lit(-2)) + gap), grown(a, r)).otherwise(F.array_append(a, r))
-    order = F.array_sort(F.transform(ranges, lambda r: F.struct(r[first].cast("int").alias(first), r[last].cast("int").alias(last))))
-    return F.aggregate(order, F.array().cast(f"array<struct<{first}:int,{last}:int>>"), step)
+def joined_ranges(rows: DataFrame, first: str, last: str, gap: int = 0) -> DataFrame:
+    """rid and `ranges`: an array of (first, last) in order, joined where one begins within `gap` of
+    another's end, from rows(rid, first, last). A text's ranges are sorted once and joined in one pass."""
+    grouped = rows.groupBy("rid").agg(F.collect_list(F.struct(F.col(first).cast("long").alias("a"), F.col(last).cast("long").alias("b"))).alias("found"))
+    span = pa.struct([(first, pa.int32()), (last, pa.int32())])
+    schema = pa.schema([("rid", pa.int64()), ("ranges", pa.list_(span))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends, offsets = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
+            for found in batch["found"]:
+                a, b = found.values.field("a").to_numpy(), found.values.field("b").to_numpy()
+                order = np.argsort(a, kind="stable")
+                a, reach = a[order], np.maximum.accumulate(b[order])
+                new = np.flatnonzero(np.r_[True, a[1:] > reach[:-1] + gap])
+                starts.append(a[new])
+                ends.append(reach[np.r_[new[1:], len(a)] - 1])
+                offsets.append(offsets[-1] + len(new))
+            spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)], fields=list(span))
+            yield pa.record_batch([batch["rid"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], schema=schema)
+
+    return grouped.select(F.col("rid").cast("long"), "found").mapInArrow(run, f"rid long, ranges array<struct<{first}:int,{last}:int>>")
 
 
 #: Bytes of rows that a Python worker is handed at once.

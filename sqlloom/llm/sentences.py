@@ -93,7 +93,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = MIN_WORDS) ->
     """doc_id, n_sentences, n_removed, the removed sentence numbers, and the text that stays."""
     rows = keyed(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = materialize(hashed_runs(rows.select("rid", "text"), span, least))
-    marks = lookup(repeated(found).groupBy("rid").agg(joined_ranges(F.collect_set(F.struct("first", "last")), "first", "last").alias("spans")), F.size("spans"))
+    marks = lookup(joined_ranges(repeated(found), "first", "last").withColumnRenamed("ranges", "spans"), F.size("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string()), ("text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -46,8 +46,12 @@ WIDTHS = (256, 32, 4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Bits of the filter of hashes seen twice.
-FILTER_BITS = 1 << 26
+#: Least and most bits of the filter of hashes seen twice.
+FILTER_BITS = (1 << 20, 1 << 29)
+#: Starts that are hashed at once; rows of an Arrow batch; the longest period that is looked for.
+BLOCK, ROWS, PERIOD = 1 << 19, 20_000, 64
+#: Starts that a part of the sort is planned for, the most parts, and bytes of suffixes sorted at once.
+PART, PARTS, SORTED = 20_000, 16_384, 16 << 20
 _ROW = "rid long, at int, lo int, hi int, inner long, outer binary"
 _KEYS = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("inner", pa.int64()), ("outer", pa.binary())])
 
@@ -69,25 +73,68 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, span: int = SPAN, width: int = WIDTHS[0], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, span: int = SPAN, width: int = WIDTHS[0], gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first start, last start) over the starts 0..n - span, in order.
 
-    The least hash wins, the first of equals; equal windows hold the same hashes, so they agree."""
+    The least hash wins, the first of equals; equal windows hold the same hashes, so they agree. Starts
+    are taken in blocks, so what is held beside the text does not grow with it."""
     starts = len(data) - span + 1
-    if starts < 1:
-        return (np.empty(0, np.int64),) * 3
-    # Hash and place in one word: the order is by hash, then by place.
-    h = gram_hashes(data, gram)[: starts + width - 1]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     low = np.uint64((1 << 34) - 1)
-    m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        m = np.minimum(m[:-step], m[step:])
-        have += step
-    at = (m[:starts] & low).astype(np.int64)
-    cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[cut], cut, np.r_[cut[1:], starts] - 1
+    for base in range(0, starts, block):
+        n = min(block, starts - base)
+        # Hash and place in one word: the order is by hash, then by place.
+        h = gram_hashes(data[base : base + n + width + gram - 2], gram)
+        m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            m = np.minimum(m[:-step], m[step:])
+            have += step
+        at = (m[:n] & low).astype(np.int64) + base
+        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        at, lo, hi = at[cut], cut + base, np.r_[cut[1:], n] - 1 + base
+        if found and found[-1][0][-1] == at[0]:  # the anchor goes on from the block before
+            found[-1][2][-1] = hi[0]
+            at, lo, hi = at[1:], lo[1:], hi[1:]
+        if len(at):
+            found.append((at, lo, hi))
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _joined(ranges: np.ndarray) -> np.ndarray:
+    """Sorted, disjoint ranges (first, last) that cover the same numbers."""
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ranges[:, 1])
+    new = np.flatnonzero(np.r_[True, ranges[1:, 0] > reach[:-1] + 1])
+    return np.c_[ranges[new, 0], reach[np.r_[new[1:], len(ranges)] - 1]]
+
+
+def without_periods(data: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], span: int = SPAN) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Anchors less those of periodic stretches, and the ranges of starts settled by that.
+
+    In a stretch of period p a start equals the one p places on, so all of them are repeated, and its
+    first p starts stand for the others as partners. A text of one letter thus has an anchor or two, not
+    one at each place. Periods show as equal gaps between anchors; longer ones have few anchors anyway."""
+    at, lo, hi = found
+    gap = np.diff(at)
+    same = (gap[2:] == gap[1:-1]) & (gap[1:-1] == gap[:-2]) & (gap[:-2] <= PERIOD)
+    sure, gone = [], []
+    for p in np.unique(gap[:-2][same]).tolist():
+        ends = np.flatnonzero(np.diff(np.r_[False, data[:-p] == data[p:], False].astype(np.int8))).reshape(-1, 2)
+        ends = ends[ends[:, 1] - ends[:, 0] >= span]
+        sure.append(np.c_[ends[:, 0], ends[:, 1] - span + p])
+        gone.append(np.c_[ends[:, 0] + p, ends[:, 1] - span + p])
+    if not sure or not sum(map(len, sure)):
+        return found, np.empty((0, 2), np.int64)
+    out = _joined(np.concatenate(gone))
+    inside = lambda x: (i := np.searchsorted(out[:, 0], x, "right") - 1, (i >= 0) & (x <= out[i, 1]))
+    (i, left), (j, right) = inside(lo), inside(hi)
+    lo, hi = np.where(left, out[i, 1] + 1, lo), np.where(right, out[j, 0] - 1, hi)
+    keep = lo <= hi
+    return (at[keep], lo[keep], hi[keep]), _joined(np.concatenate(sure))
 
 
 def _outer(data: bytes, first: int, last: int, span: int, seed: int) -> bytes | None:
@@ -97,48 +144,67 @@ def _outer(data: bytes, first: int, last: int, span: int, seed: int) -> bytes |
     return xxh3_128_digest(data[first : last + span], seed) if whole else None
 
 
+def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 def anchor_rows(texts: DataFrame, span: int = SPAN, seen_twice: np.ndarray | None = None) -> DataFrame:
     """Anchors of texts(rid, text). Without `seen_twice` only their inner hashes; with it, rid, at, lo,
-    hi, inner and outer of those whose inner hash may have been seen twice."""
+    hi, inner and outer of those whose inner hash may have been seen twice, and rows without hashes for
+    the starts that periods settle. Batches end after ROWS rows, whatever a text holds."""
+    if WIDTHS[0] + GRAM > span:
+        raise ValueError(f"a span has {WIDTHS[0] + GRAM} bytes at least")
     shared = seen_twice is not None and texts.sparkSession.sparkContext.broadcast(seen_twice)
     width = WIDTHS[0]
+    hashes = pa.schema([("inner", pa.int64())])
+
+    def of(row: int, text: bytes, bits: np.ndarray | None) -> Iterator[list]:
+        data = np.frombuffer(text, np.uint8)
+        (at, lo, hi), sure = without_periods(data, anchors(data, span), span)
+        cut = span - width + 1
+        if bits is not None and len(sure):
+            none = [None] * len(sure)
+            yield [np.full(len(sure), row), np.full(len(sure), -1), sure[:, 0], sure[:, 1], none, none]
+        for i in range(0, len(at), ROWS):
+            a, part = at[i : i + ROWS], slice(i, i + ROWS)
+            inner = np.array([xxh3_64_intdigest(text[x : x + cut]) for x in a.tolist()], np.uint64).view(np.int64)
+            if bits is None:
+                yield [inner]
+                continue
+            place = inner & (8 * len(bits) - 1)
+            keep = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
+            outer = [_outer(text, x - width + 1, x, span, 0) for x in a[keep].tolist()]
+            yield [np.full(len(keep), row), a[keep], lo[part][keep], hi[part][keep], inner[keep], outer]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared and shared.value
+        schema = _KEYS if shared else hashes
         for batch in batches:
-            found: list[list] = [[], [], [], [], [], []]
+            held, n = [], 0
             for row, text in zip(batch["rid"].to_pylist(), blob(batch["text"]), strict=True):
-                at, lo, hi = anchors(np.frombuffer(text, np.uint8), span)
-                if not len(at):
-                    continue
-                cut = span - width + 1
-                inner = np.array([xxh3_64_intdigest(text[a : a + cut]) for a in at.tolist()], np.uint64).view(np.int64)
-                if not shared:
-                    found[4].append(inner)
-                    continue
-                place = inner & (FILTER_BITS - 1)
-                keep = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
-                for column, values in zip(found, (np.full(len(keep), row), at[keep], lo[keep], hi[keep], inner[keep]), strict=False):
-                    column.append(values)
-                found[5] += [_outer(text, a - width + 1, a, span, 0) for a in at[keep].tolist()]
-            if found[4]:
-                if not shared:
-                    yield pa.record_batch([pa.array(np.concatenate(found[4]))], names=["inner"])
-                else:
-                    columns = [np.concatenate(c) for c in found[:5]]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip([*columns, found[5]], _KEYS.types, strict=True)], schema=_KEYS)
+                for columns in of(row, text, shared.value if shared else None):
+                    held.append([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)])
+                    n += len(columns[0])
+                    if n >= ROWS:
+                        yield pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], schema=schema)
+                        held, n = [], 0
+            if n:
+                yield pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], schema=schema)
 
     return texts.mapInArrow(run, _ROW if shared else "inner long")
 
 
 def repeat_filter(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS with the places of hashes seen twice or more. Its size is fixed; when
-    a corpus fills it, it lets more through, and the exact join behind it decides."""
-    twice = hashes.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("inner").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place"))
-    bucket = (F.col("place") / 32768).cast("long").alias("bucket")
-    maps = twice.groupBy(bucket).agg(F.bitmap_construct_agg((F.col("place") % 32768)).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in maps.collect():  # at most FILTER_BITS / 32768 rows
+    """A bitmap with the places of hashes seen twice or more: 16 places for each of them, within the
+    bounds of FILTER_BITS. A corpus that fills the largest lets more through, and the exact join behind
+    it decides."""
+    twice = materialize(hashes.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select("inner"))
+    least, most = FILTER_BITS
+    bits = min(most, max(least, 1 << (16 * twice.count()).bit_length()))
+    place = F.col("inner").bitwiseAND(F.lit(bits - 1))
+    bucket = F.shiftright(place, 15).alias("bucket")
+    maps = twice.groupBy(bucket).agg(F.bitmap_construct_agg(place % 32768).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.toLocalIterator():  # at most bits / 32768 rows of 4 KB
         own = np.frombuffer(r["bits"], np.uint8)
         out[r["bucket"] * 4096 : r["bucket"] * 4096 + len(own)] = own
     return out
@@ -150,7 +216,9 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of rows with the same outer string one goes on with the open ones that share its inner string:
     it stands for all of them as a partner. Counts combine before the shuffle, so a passage that a
     third of all rows hold is one row a task."""
-    rows = materialize(rows)
+    written = materialize(rows)
+    periodic = written.filter("inner is null").select("rid", "lo", "hi")
+    rows = written.filter("inner is not null")
     inner = rows.groupBy("inner").agg(F.count("*").alias("n")).filter("n > 1").select("inner")
     outer = rows.filter("outer is not null").groupBy("outer").agg(F.count("*").alias("n")).filter("n > 1").select("outer", F.lit(True).alias("all"))
     judged = materialize(rows.join(materialize(inner), "inner", "left_semi").join(materialize(outer), "outer", "left").withColumn("all", F.coalesce("all", F.lit(False))))
@@ -159,7 +227,7 @@ def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     partners = judged.filter("all").join(materialize(wanted), "inner", "left_semi")
     own = ["rid", "at", "lo", "hi"]
     one = partners.groupBy("outer").agg(F.min(F.struct(*own)).alias("o")).select("o.*")
-    return judged.filter("all").select("rid", "lo", "hi"), left.select(*own).unionByName(one)
+    return judged.filter("all").select("rid", "lo", "hi").unionByName(periodic), left.select(*own).unionByName(one)
 
 
 def placed(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
@@ -176,9 +244,9 @@ def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in _KEYS]
-            for rid, text, places in zip(batch["rid"].to_pylist(), blob(batch["text"]), batch["open"].to_pylist(), strict=True):
+            for rid, text, places in zip(batch["rid"].to_pylist(), blob(batch["text"]), batch["open"], strict=True):
                 for p in places:
-                    at, lo, hi = p["at"], p["lo"], p["hi"]
+                    at, lo, hi = (p[k].as_py() for k in ("at", "lo", "hi"))
                     for j in range((at - hi) // width, (at - lo) // width + 1):
                         last = at - j * width
                         first = last - width + 1
@@ -186,7 +254,10 @@ def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPA
                         row = (rid, at, max(lo, first), min(hi, last), inner - (inner >> 63 << 64), _outer(text, first, last, span, 1 + j))
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _KEYS.types, strict=True)], schema=_KEYS)
+                    if len(out[0]) >= ROWS:
+                        yield _batch(out, _KEYS)
+                        out = [[] for _ in _KEYS]
+            yield _batch(out, _KEYS)
 
     return placed(texts, open_rows).select("rid", "text", "open").mapInArrow(run, _ROW)
 
@@ -286,54 +357,115 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
             node //= 2
 
 
+_RUN = pa.schema([("part", pa.int32()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("rid", pa.list_(pa.int64())), ("x", pa.list_(pa.int32())), ("sure", pa.bool_())])
+
+
+def suffixes(texts: DataFrame, open_rows: DataFrame, span: int = SPAN) -> DataFrame:
+    """rid, x, suffix (its first span bytes) of every open start, in batches of bounded size."""
+    schema = pa.schema([("rid", pa.int64()), ("x", pa.int32()), ("suffix", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, (4 << 20) // span)
+        for batch in batches:
+            for rid, text, places in zip(batch["rid"].to_pylist(), blob(batch["text"]), batch["open"], strict=True):
+                own = places.values
+                lo, hi = own.field("lo").to_numpy(), own.field("hi").to_numpy()
+                for first, last in _joined(np.c_[lo, hi].astype(np.int64)).tolist():
+                    for a in range(first, last + 1, most):
+                        x = range(a, min(last + 1, a + most))
+                        yield pa.record_batch([pa.array([rid] * len(x), pa.int64()), pa.array(x, pa.int32()), pa.array([text[i : i + span] for i in x], pa.binary())], schema=schema)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            n += len(batch)
+            if n * span >= 4 << 20:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return placed(texts, open_rows).select("rid", "text", "open").mapInArrow(gathered, "rid long, x int, suffix binary")
+
+
+def splitters_of(starts: DataFrame, parts: int) -> list[bytes]:
+    """parts - 1 keys that deal the suffixes out evenly, from a sample of 8 for each part, those of least
+    hash. A key is cut after the byte that tells it from the sample before it."""
+    picked = starts.select("suffix", F.xxhash64("rid", "x").alias("h")).orderBy("h").limit(8 * parts).select("suffix")
+    sample = sorted({bytes(r[0]) for r in picked.toLocalIterator()})
+    at = sorted({i * len(sample) // parts for i in range(1, parts)} - {0})
+    return [sample[i][: common(sample[i - 1], sample[i]) + 1] for i in at]
+
+
 def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = None) -> DataFrame:
     """starts(rid, x, suffix) -> (rid, x) of those whose suffix shares span bytes with a neighbour.
 
-    Map side: each task sorts its suffixes and emits runs, one for each part, front-coded in chunks.
-    Reduce side: a part merges its runs. Equal suffixes always fall in one part's key range, since
-    splitters are whole suffixes, so neighbours that matter never straddle parts."""
+    Map side: each task sorts SORTED bytes of suffixes at a time and emits a front-coded run for each
+    part. Reduce side: a part merges its runs, read bit by bit out of Arrow buffers. Equal suffixes always
+    fall in one part's key range, so neighbours that matter never straddle parts. Parts follow the
+    number of starts, so that one of them stays small."""
     spark = starts.sparkSession
     starts = materialize(starts)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Splitters from a sample of fixed size: the `want` rows of least hash.
-    want = 16 * parts
-    picked = starts.select("suffix", F.xxhash64("rid", "x").alias("h")).orderBy("h").limit(want).select("suffix")
-    sample = sorted({bytes(r[0]) for r in picked.collect()})
-    splitters = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
-
-    fields = pa.schema([("part", pa.int32()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("rid", pa.list_(pa.int64())), ("x", pa.list_(pa.int32())), ("sure", pa.bool_())])
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS, -(-starts.count() // PART)))
+    splitters = splitters_of(starts, parts)
+
+    def coded(rows: list[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
+        rows.sort()
+        cuts = [bisect_left(rows, (s,)) for s in splitters]
+        out: list[list] = [[] for _ in _RUN]
+        held = 0
+        for part, (start, end) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
+            if start == end:
+                continue
+            shared, rest = front_coded([r[0] for r in rows[start:end]])
+            # Equal suffixes of one run are repeats already; the first of them goes on for all.
+            same = [i for i in range(1, len(shared)) if shared[i] >= span]
+            known = sorted({*same, *(i - 1 for i in same)})
+            go = sorted(set(range(len(shared))) - set(same))
+            tags = [[[rows[start + i][k] for i in at] for at in (go, known)] for k in (1, 2)]
+            made = [(part, [shared[i] for i in go], [rest[i] for i in go], tags[0][0], tags[1][0], False)]
+            made += [(rows[start][2] % parts, [], [], tags[0][1], tags[1][1], True)] if known else []
+            for row in made:
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            held += sum(map(len, rest))
+            if held > 2 << 20:
+                yield _batch(out, _RUN)
+                out, held = [[] for _ in _RUN], 0
+        if out[0]:
+            yield _batch(out, _RUN)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, int, int]] = []
         for batch in batches:
-            rows = sorted(zip(batch["suffix"].to_pylist(), batch["rid"].to_pylist(), batch["x"].to_pylist(), strict=True))
-            cuts = [bisect_left(rows, (s,)) for s in splitters]
-            for part, (start, end) in enumerate(zip([0, *cuts], [*cuts, len(rows)], strict=True)):
-                if start == end:
-                    continue
-                shared, rest = front_coded([r[0] for r in rows[start:end]])
-                # Equal suffixes of one run are repeats already; the first of them goes on for all.
-                same = [i for i in range(1, len(shared)) if shared[i] >= span]
-                known = sorted({*same, *(i - 1 for i in same)})
-                go = sorted(set(range(len(shared))) - set(same))
-                columns = ([part, known and hash(rows[start][0]) % parts], [[shared[i] for i in go], []], [[rest[i] for i in go], []])
-                tags = [[[rows[start + i][k] for i in at] for at in (go, known)] for k in (1, 2)]
-                n = 1 + bool(known)
-                yield pa.record_batch([pa.array(c[:n], t) for c, t in zip((*columns, *tags, [False, True]), fields.types, strict=True)], schema=fields)
-
-    coded = starts.select("rid", "x", "suffix").mapInArrow(runs, "part int, shared array<int>, rest array<binary>, rid array<long>, x array<int>, sure boolean")
+            rows += zip(*(batch[k].to_pylist() for k in ("suffix", "rid", "x")), strict=True)
+            if len(rows) * span >= SORTED:
+                yield from coded(rows)
+                rows = []
+        if rows:
+            yield from coded(rows)
+
+    exchanged = starts.select("rid", "x", "suffix").mapInArrow(runs, "part int, shared array<int>, rest array<binary>, rid array<long>, x array<int>, sure boolean")
     out = pa.schema([("rid", pa.int64()), ("x", pa.int32())])
 
+    def items(batch: pa.RecordBatch, i: int) -> Iterator[tuple[int, bytes, tuple]]:
+        columns = [batch[k][i].values for k in ("shared", "rest", "rid", "x")]
+        for at in range(0, len(columns[0]), 64):
+            for shared, rest, rid, x in zip(*(c.slice(at, 64).to_pylist() for c in columns), strict=True):
+                yield shared, rest, (rid, x)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_part: dict[int, list[Run]] = {}
+        by_part: dict[int, list[Iterator]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["sure"]:
-                    yield pa.record_batch([pa.array(row["rid"], pa.int64()), pa.array(row["x"], pa.int32())], schema=out)
-                    continue
-                by_part.setdefault(row["part"], []).append(Run(iter(list(zip(row["shared"], row["rest"], zip(row["rid"], row["x"], strict=True), strict=True)))))
+            for i, (part, sure) in enumerate(zip(batch["part"].to_pylist(), batch["sure"].to_pylist(), strict=True)):
+                if sure:
+                    yield pa.record_batch([batch["rid"][i].values, batch["x"][i].values], schema=out)
+                else:
+                    by_part.setdefault(part, []).append(items(batch, i))
         for found in by_part.values():
             rid, x, before, said = [], [], None, True
-            for shared, _, tag in merged(found):
+            for shared, _, tag in merged([Run(r) for r in found]):
                 if before is not None and shared >= span:
                     for t in ([] if said else [before]) + [tag]:
                         rid.append(t[0])
@@ -342,9 +474,12 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
                 else:
                     said = False
                 before = tag
-            yield pa.record_batch([pa.array(rid, pa.int64()), pa.array(x, pa.int32())], schema=out)
+                if len(rid) >= ROWS:
+                    yield _batch([rid, x], out)
+                    rid, x = [], []
+            yield _batch([rid, x], out)
 
-    return coded.repartition(parts, "part").mapInArrow(merge, "rid long, x int")
+    return exchanged.repartition(parts, "part").mapInArrow(merge, "rid long, x int")
 
 
 # --- the operator -------------------------------------------------------------------------------
@@ -359,11 +494,7 @@ def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
     for width in WIDTHS[1:]:
         more, rows = settle(run_rows(texts, rows, width, span))
         sure = sure.unionByName(more)
-    data = F.col("text").cast("binary")
-    starts = F.flatten(F.transform("open", lambda o: F.sequence(o["lo"], o["hi"])))
-    suffixes = F.transform(F.array_distinct(starts), lambda x: F.struct("rid", x.alias("x"), F.substring(data, x + 1, F.lit(span)).alias("suffix")))
-    single = placed(texts, rows).select(F.explode(suffixes).alias("s")).select("s.*")
-    last = sorted_neighbours(single, span)
+    last = sorted_neighbours(suffixes(texts, rows, span), span)
     return sure.unionByName(last.select("rid", F.col("x").alias("lo"), F.col("x").alias("hi")))
 
 
@@ -403,7 +534,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
     # Later copies leave the search: the first stands for them.
     later = whole.filter("rid <> first").select("rid")
     texts = long.select("rid", text.alias("text")).join(lookup(later), "rid", "left_anti")
-    found = repeated_starts(texts, span).groupBy("rid").agg(joined_ranges(F.collect_list(F.struct("lo", "hi")), "lo", "hi", 1).alias("ranges"))
+    found = joined_ranges(repeated_starts(texts, span), "lo", "hi", 1)
     marks = lookup(found.join(whole.select("rid", F.lit(True).alias("whole")), "rid", "full_outer"), F.coalesce(F.size("ranges"), F.lit(0)))
     out = rows.select("rid", "doc_id", text.alias("text")).join(marks, "rid", "left")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text

@@ -251,6 +251,39 @@ def test_suffix_dedup(spark, repeat_ids):
     assert suffix.remove_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_periodic_and_long_texts(spark):
+    own = random.Random(12)
+    noise = lambda n: "".join(own.choice("abcdefghij ") for _ in range(n))
+    line = "one line that comes again and again\n"
+    texts = [noise(300) + "x" * 3000 + noise(200), "x" * 400 + "y" * 399, noise(50) + "xy" * 700 + "z" + "yx" * 220, "xy" * 200 + noise(30), noise(90) + line * 40 + noise(10), line * 11, line[5:] + line * 10 + "!" + noise(500), "abcde" * 81, "q" * 405 + noise(20)]
+    found = suffix.remove_repeats(docs_of(spark, texts)).collect()
+    assert collections.Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == repeated_bytes([t.encode() for t in texts], 400)
+    data = np.frombuffer(("x" * 200_000).encode(), np.uint8)
+    (at, lo, hi), sure = suffix.without_periods(data, suffix.anchors(data))
+    assert len(at) <= 2 and sure.tolist() == [[0, 200_000 - 400]]
+    for t in (prose(3000), "ab" * 4000, noise(400)):
+        data = np.frombuffer(t.encode(), np.uint8)
+        for a, b in zip(suffix.anchors(data), suffix.anchors(data, block=500), strict=True):
+            assert a.tolist() == b.tolist()
+    r = np.random.default_rng(3)
+    letters = lambda n: r.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    passage = letters(1000)
+    texts = [letters(5_000_000) + "0" + passage + "1" + letters(600_000) + "2" + passage + "3" + letters(10), letters(700) + "4" + passage[100:] + "5", letters(900)]
+    found = {r.doc_id: r for r in suffix.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [(found[i].n_removed, found[i].n_spans) for i in range(3)] == [(2000, 2), (900, 1), (0, 0)]
+    assert bytes(found[0].kept).decode() == texts[0].replace(passage, "") and bytes(found[2].kept).decode() == texts[2]
+
+
+def test_merge_of_many_parts(spark):
+    own = random.Random(2)
+    rows = [(own.choice([7, 8, 9]), i, bytes(own.choice(b"ab") for _ in range(12))) for i in range(3000)] + [(1, i, b"a" * 12) for i in range(500)]
+    starts = spark.createDataFrame(rows, "rid long, x int, suffix binary").repartition(5)
+    count = collections.Counter(r[2] for r in rows)
+    for parts in (1, 7, 40):
+        found = suffix.sorted_neighbours(starts, 12, parts).collect()
+        assert sorted({(r.rid, r.x) for r in found}) == sorted((a, x) for a, x, t in rows if count[t] > 1)
+
+
 def test_loser_tree_keeps_prefixes():
     for n in (1, 2, 3, 7):
         items = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(200)]
