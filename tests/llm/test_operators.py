@@ -128,6 +128,29 @@ def test_secrets(spark):
     assert secrets.redact(df).columns == df.columns and secrets.digest(df.limit(0)).count() == 0
 
 
+def test_one_owner_with_many_repositories(spark):
+    token = "Zx9" + "qW3" * 7
+    rows = [(i, f"note {token} end", "hot") for i in range(20)] + [(100 + i, f"key {token[::-1]} end", "other") for i in range(3)] + [(200, token[::-1] + " x", None), (200, token[::-1] + " x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert all(found[i].spans == "" and (found[i].n_example, found[i].most_owners, found[i].most_repositories) == (1, 1, 20) for i in range(20))
+    assert all("mixed" in found[100 + i].spans and (found[100 + i].most_owners, found[100 + i].most_repositories) == (2, 4) for i in range(3))
+    assert {r.text for r in secrets.redact(df).filter("source = 'hot'").collect()} == {f"note {token} end"}
+
+
+def test_very_many_candidates_in_a_long_text(spark):
+    own = random.Random(6)
+    mixed = [f"Ab{i:05d}" + "qW3xZ" * 3 for i in range(25_000)]
+    text = " é😀 ".join(x for i, m in enumerate(mixed) for x in (m, f"token={own.getrandbits(80):020x}z{m}")) + " tail " * 200_000
+    texts = [text, "password=" + "a" * 5000 + " b", "x" * 4090 + " token=" + "b1" * 3000 + " z", None]
+    found = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).collect()}
+    assert [len(found[i].base) for i in range(4)] == [sum(1 for p in (secrets.ASSIGN, secrets.HEX) for _ in re.finditer(p, t or "")) for t in texts]
+    assert sum(s.kind == 3 for s in found[0].spans) == 25_000
+    out = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, texts)).collect()}
+    assert out[0] == " é😀 ".join(["<mixed>", "<assign>"] * 25_000) + " tail " * 200_000
+    assert [out[i] for i in (1, 2, 3)] == ["<assign> b", "x" * 4090 + " <assign> z", None]
+
+
 # --- near-duplicates ----------------------------------------------------------------------------
 
 
