@@ -384,6 +384,64 @@ def test_decontamination(spark, held):
     assert decontaminate.scan(df, bench, held).count() == len(texts)
 
 
+def brute_leaks(texts, items):
+    """(n_hits, item ids) of each text, from every pair of places."""
+    kinds = decontaminate._Kinds()
+    strip = lambda w: w.strip(decontaminate._STRIP).lower()
+
+    def made(t):
+        words, h = decontaminate.template(t.encode(), kinds)
+        return words, h.tolist(), [x in set(decontaminate.SLOTS.tolist()) for x in h.tolist()]
+
+    def key(words, h, slot, i, n):
+        return tuple(strip(w) for w in words[i : i + n]) if all(slot[i : i + n]) else tuple(h[i : i + n])
+
+    own = [(i, made(t or "")) for i, t in items if i is not None]
+    out = []
+    for t in texts:
+        words, h, slot = made(t or "")
+        hits, leaks = set(), set()
+        for i, (iw, ih, islot) in own:
+            n = min(8, len(iw))
+            at = {(d, p) for p in range(len(iw) - n + 1 if n else 0) for d in range(len(words) - n + 1) if key(words, h, slot, d, n) == key(iw, ih, islot, p, n)}
+            hits |= {(d, n) for d, _ in at}
+            for d, p in at:
+                if (d - 1, p - 1) in at:
+                    continue
+                k = 1
+                while (d + k, p + k) in at:
+                    k += 1
+                k += n - 1
+                pairs = [(ih[p + j], strip(iw[p + j]), strip(words[d + j])) for j in range(k) if islot[p + j]]
+                same = all((a == x) <= (b == y) for _, a, b in pairs for _, x, y in pairs)
+                names = [q for q in pairs if q[0] == decontaminate.NAME_SLOT]
+                if k >= min(13, 0.5 * len(iw)) and same and all((b == y) <= (a == x) for _, a, b in names for _, x, y in names):
+                    leaks.add(i)
+        out.append((len(hits), ",".join(map(str, sorted(leaks)))))
+    return out
+
+
+@pytest.mark.parametrize("held", [decontaminate.HELD_WINDOWS, 0])
+def test_decontamination_against_brute_force(spark, held):
+    own = random.Random(9)
+    vocabulary = "the a of Jon Mira Ada 3 5 70 kg miles box sells and then near old".split()
+    said = lambda n: " ".join(own.choice(vocabulary) for _ in range(n))
+    bodies = [said(n) for n in (3, 5, 9, 14, 20, 30, 60)]
+    items = [*enumerate(bodies), (2, said(12)), (2, bodies[4]), (3, bodies[3]), (9, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (10, "0 " * 40), (11, "word " * 30), (None, bodies[5]), (12, None)]
+    swap = lambda t: " ".join(m.get(w, w) for m in [{"Jon": own.choice(["Jon", "Ada", "Eve"]), "3": own.choice(["3", "8", "5"]), "kg": "miles"}] for w in t.split())
+    texts = [None, "", "0 " * 300, "word " * 300, "9 " * 50, "11 12 13 14 15 16 17 18 19", said(200)]
+    for body in bodies * 4:
+        w = swap(body).split()
+        a = own.randrange(len(w))
+        texts.append(" ".join([said(own.randrange(20)), *w[a // 2 : len(w) - own.randrange(3)], said(own.randrange(20))]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: (r.n_hits, r.items) for r in decontaminate.scan(docs_of(spark, texts), bench, held).collect()}
+    want = dict(enumerate(brute_leaks(texts, items)))
+    assert found == want and sum(bool(x[1]) for x in want.values()) > 5
+    clash = docs_of(spark, texts).selectExpr("*", "1 as n_hits", "2 as items", "3 as hits", "4 as text_")
+    assert sorted(r.doc_id for r in decontaminate.remove(clash, bench, held).collect()) == [i for i, x in want.items() if not x[1]]
+
+
 @pytest.mark.parametrize("held", [decontaminate.HELD_WINDOWS, 0])
 def test_short_items_inside_long_documents(spark, held):
     items = [(1, "blue tiny thing"), (2, "seven odd old words make this item"), (3, "lone"), (4, "blue tiny thing"), (5, ITEM)]
