@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_digest
 
 from .common import blob, joined_ranges, keyed, lookup, materialize
 
 SPAN = 2
 MIN_WORDS = 20
+#: Runs after which an Arrow batch ends, once a text is done.
+ROWS = 50_000
 _CUT = re.compile(rb"[^\n]*?(?:[.!?]+(?=[ \t])[ \t]*|\n+|$)", re.S)
 
 
@@ -36,8 +38,8 @@ def sentences(text: bytes) -> list[bytes]:
     return [m for m in _CUT.findall(text) if m]
 
 
-def runs(text: bytes, span: int = SPAN, least: int = MIN_WORDS) -> tuple[list[int], list[int], list[int]]:
-    """First sentence, sentence after the last, and hash of each run."""
+def runs(text: bytes, span: int = SPAN, least: int = MIN_WORDS) -> tuple[list[int], list[int], list[bytes]]:
+    """First sentence, sentence after the last, and 128-bit hash of each run."""
     words = [s.split() for s in sentences(text)]
     sizes = np.cumsum([0, *map(len, words)])
     n = len(words)
@@ -62,31 +64,39 @@ def runs(text: bytes, span: int = SPAN, least: int = MIN_WORDS) -> tuple[list[in
     for i, end in sorted(found):
         first.append(i)
         last.append(end)
-        hashes.append(xxh3_64_intdigest(b" ".join(x for x in joined[i:end] if x)) - (1 << 63))
+        hashes.append(xxh3_128_digest(b" ".join(x for x in joined[i:end] if x)))
     return first, last, hashes
 
 
 def hashed_runs(rows: DataFrame, span: int = SPAN, least: int = MIN_WORDS) -> DataFrame:
-    """rid, first, last, hash of every run of rows(rid, text)."""
-    schema = pa.schema([("rid", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("hash", pa.int64())])
+    """rid, first, last and hash (two numbers) of every run of rows(rid, text)."""
+    names = ["rid", "first", "last", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[], [], [], []]
+            rids, firsts, lasts, hashes = [], [], [], []
             for rid, text in zip(batch["rid"].to_pylist(), blob(batch["text"]), strict=True):
-                first, last, hashes = runs(text, span, least)
-                for column, values in zip(out, ([rid] * len(first), first, last, hashes), strict=True):
+                found = runs(text, span, least)
+                rids += [rid] * len(found[0])
+                for column, values in zip((firsts, lasts, hashes), found, strict=True):
                     column += values
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
+                if len(rids) >= ROWS:
+                    yield made(rids, firsts, lasts, hashes)
+                    rids, firsts, lasts, hashes = [], [], [], []
+            yield made(rids, firsts, lasts, hashes)
 
-    return rows.mapInArrow(run, "rid long, first int, last int, hash long")
+    def made(rids: list[int], firsts: list[int], lasts: list[int], hashes: list[bytes]) -> pa.RecordBatch:
+        h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        return pa.record_batch([pa.array(rids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=names)
+
+    return rows.mapInArrow(run, "rid long, first int, last int, h1 long, h2 long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """rid, first, last of runs that are not the first of their hash. Counting combines in each task;
     the join keeps a hash that very many rows hold on one side only, where it can be split."""
-    firsts = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("least")).filter("n > 1").select("hash", "least")
-    return found.join(materialize(firsts), "hash").filter(F.struct("rid", "first") != F.col("least")).select("rid", "first", "last")
+    firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("least")).filter("n > 1").select("h1", "h2", "least")
+    return found.join(materialize(firsts), ["h1", "h2"]).filter(F.struct("rid", "first") != F.col("least")).select("rid", "first", "last")
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = MIN_WORDS) -> DataFrame:
