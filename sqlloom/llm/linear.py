@@ -1,7 +1,8 @@
 """Hashed sparse linear models: feature extraction in Arrow batches, FTRL-proximal training, scoring.
 
-A document's features come from its whole text. Models are trained on the driver from a bounded
-sample of feature vectors; a model is a vector of 2 ** BITS weights, so its size never grows.
+A document's features come from its whole text. Models are trained on the driver from a sample of feature
+vectors, bounded in documents (SAMPLE) and bytes of text (SAMPLE_BYTES); a model is a vector of 2 ** BITS
+weights, so its size never grows. A doc_id that repeats is one document of the sample.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -19,6 +20,8 @@ from .common import blob, bounded_batches, materialize
 BITS = 22
 #: Labelled rows that a model is trained on at most; those of least hash are taken.
 SAMPLE = 6_000
+#: Bytes of text that a model is trained on at most.
+SAMPLE_BYTES = 64 << 20
 
 #: Text to (feature numbers, values); numbers below 2 ** BITS, which may repeat and then add up.
 Featurizer = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
@@ -54,15 +57,25 @@ def vectors(docs: DataFrame, featurizer: Callable[[], Featurizer], *keep: str) -
     return docs.select("text", *keep).mapInArrow(run, ", ".join([*fields, "at array<int>", "value array<float>"]))
 
 
+def training_texts(docs: DataFrame, chosen: DataFrame, sample: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """id, text and y of the documents chosen(id, y), at most `sample` of them: one text for each id, that of
+    least hash, until `most_bytes` are full. Rows of an id that repeats, however often, combine in their tasks."""
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = texts.join(F.broadcast(chosen), "id")  # `sample` rows of two numbers
+    one = materialize(own.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", "t.text"))
+    # At most `sample` rows: one window over them is no task that grows.
+    sizes = one.select("id", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)).alias("bytes"))
+    return one.join(F.broadcast(sizes.filter(F.col("bytes") <= most_bytes).select("id")), "id").select("id", "text", "y")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, sample: int = SAMPLE) -> DataFrame:
-    """text and y of at most `sample` rows of docs whose label is known and whose doc_id satisfies keep.
+    """id, text and y of at most `sample` documents whose label is known and whose doc_id satisfies keep.
 
     Labels are few and narrow beside texts. Repeated label rows count once (the larger label); null
     labels and null ids are left out."""
     known = labels.filter(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "y")  # `sample` rows of two numbers
+    return training_texts(docs, known, sample)
 
 
 class Ftrl:

@@ -6,8 +6,8 @@ equals the one before it is written `=` in a bigram, and a bigram that the text
 more token; so repetition is visible whatever the words are. Values are shares of the text's n-grams.
 
 Empty and null texts have no n-grams and get the score of the bias less a fixed token for "no words".
-Repeated rows and ids get a row each; an empty table gives no rows; without training rows every
-score is one half; other columns are ignored.
+Repeated rows and ids get a row each, and count once in training; an empty table gives no rows; without
+training rows every score is one half; other columns are ignored. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class _Words(dict):
         if len(self) >= _KEPT_WORDS:
             self.clear()
         sign = lambda m: m[1] * 3 if m[1] else b"A" if m[0][:1].isupper() else b"0" if m[0][:1].isdigit() else b"a"
-        shape = self.runs.sub(sign, word)[:24]
+        shape = self.runs.sub(sign, word)
         out = self[word] = slot(b"w" + word) * 0x10001 & 0xFFFFFFFF | (slot(b"s" + shape) * 0x10001 & 0xFFFFFFFF) << 32
         return out
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blob, bounded_batches
-from .linear import BITS, SAMPLE, Featurizer, Ftrl, fold, labelled, scored, slot
+from .linear import BITS, SAMPLE, Featurizer, Ftrl, fold, labelled, scored, slot, training_texts
 
 FOLDS, HELD_OUT = 5, 0
 # Words that insult, by kind.
@@ -190,9 +190,7 @@ def unlabelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     train = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct()
     ids = docs.filter(train & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id")).distinct().join(known, "id", "left_anti")
-    chosen = ids.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", F.lit(None).cast("int").alias("y"))
+    return training_texts(docs, ids.withColumn("y", F.lit(None).cast("int")), sample)
 
 
 def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:

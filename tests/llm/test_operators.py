@@ -557,6 +557,24 @@ def test_classifiers(spark):
         assert module.classify(df, labels.limit(0)).count() == len(texts) and module.classify(df.limit(0), labels).count() == 0
 
 
+def test_training_sample_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from sqlloom.llm import linear
+
+    rows = [(1, f"copy {i % 3}") for i in range(4000)] + [(i, "long " * 300) for i in range(2, 40)] + [(50, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    chosen = linear.labelled(df, labels, "quality", F.lit(True)).collect()
+    assert sorted(r.id for r in chosen) == [*range(1, 40), 50]
+    assert len(linear.labelled(df, labels, "quality", F.lit(True), 10).collect()) <= 10
+    known = labels.selectExpr("doc_id as id", "quality as y").filter("id is not null").distinct()
+    assert sum(len(r.text) for r in linear.training_texts(df, known, 100, 10_000).collect()) <= 10_000
+    assert {r.text for r in chosen if r.id == 1} <= {f"copy {i}" for i in range(3)}
+    w = [b"a" * 23 + b"B" * 4 + b"c" * 7 + b"1", b"Ab9." * 30]
+    assert len({quality._Words()[x] >> 32 for x in (w[1], w[1] + b"Z")}) == 2
+
+
 def test_toxicity_labels_by_em(spark):
     texts = ["you met him and then. " * 3 + "well, you utter idiot", "you said it. the idiot", "@#$%! now", None]
     rows = toxicity.voted(docs_of(spark, texts).selectExpr("doc_id as id", "text", "1 as y")).sort("id").collect()
