@@ -3,27 +3,32 @@
 Voters say yes or nothing on a text: fixed lexicons of insults, surface patterns, and lexicons of
 word beginnings that training rows show to be far more frequent in toxic texts. A generative label
 model (class prior; each voter's rates of yes in toxic and in other texts; pairwise correlation given
-the class) is fitted by expectation maximisation on voters' answers over a bounded sample of rows with and
-without labels (known labels stay, the others are inferred); voters that repeat each other share one vote. Its posteriors are the soft labels of a linear classifier on
-hashed words and word beginnings, trained by FTRL, which scores every text.
+the class) is fitted by expectation maximisation on the voters' answers on every document outside the
+held-out fold: equal answers are counted in Spark, and a round of EM adds up sums over those counts. The
+labels of a bounded sample stay fixed, all others are inferred; voters that repeat each other share one
+vote. The model's posteriors are the soft labels of a linear classifier on hashed words and word
+beginnings, trained by FTRL, which scores every text.
 
 Labels are read only for rows outside the held-out fold; language, source and id are never inputs.
-Empty and null texts get the score of the bias; repeated rows and ids get a row each; an empty table
-gives no rows; other columns are ignored; without training rows only the fixed voters speak.
+Empty and null texts get the score of the bias; repeated rows and ids get a row each and vote each, but
+an id counts once in the sample; an empty table gives no rows; other columns are ignored; without labels
+only the fixed voters speak. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bounded_batches
+from .common import blob, bounded_batches, materialize
 from .linear import BITS, SAMPLE, Featurizer, Ftrl, fold, labelled, scored, slot, training_texts
 
 FOLDS, HELD_OUT = 5, 0
@@ -39,7 +44,8 @@ PATTERNS = (
     re.compile(rb"\bshut up\b|\bgo away\b|\bi hate\b", re.I),
     re.compile(rb"[@#$%*!]{4,}"),
 )
-INDUCED = 60
+#: Induced voters; with the others they are 63 at most, the bits of a number.
+INDUCED = 56
 BEGINNINGS = (4, 5, 6)
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_"
 _KEPT_WORDS = 200_000
@@ -105,15 +111,20 @@ def induce(texts: list[bytes], y: np.ndarray, most: int = INDUCED) -> list[bytes
     return out
 
 
+def lexicons(induced: list[bytes]) -> list[set[bytes]]:
+    """Terms of each voter that looks for words."""
+    return [{w.encode() + b"$" for w in words.split()} for words in LEXICONS.values()] + [{t} for t in induced]
+
+
 def votes(texts: list[bytes], patterns: list[list[bool]], induced: list[bytes]) -> np.ndarray:
     """A row for each text (its words will do), a column for each voter: 1 for yes, 0 for nothing.
     patterns: the answers of PATTERNS on the whole text."""
-    lexicons = [{w.encode() + b"$" for w in words.split()} for words in LEXICONS.values()] + [{t} for t in induced]
-    out = np.zeros((len(texts), len(lexicons) + len(PATTERNS)), np.int8)
+    looking = lexicons(induced)
+    out = np.zeros((len(texts), len(looking) + len(PATTERNS)), np.int8)
     for i, text in enumerate(texts):
         own = terms(text)
-        out[i, : len(lexicons)] = [not own.isdisjoint(x) for x in lexicons]
-        out[i, len(lexicons) :] = patterns[i]
+        out[i, : len(looking)] = [not own.isdisjoint(x) for x in looking]
+        out[i, len(looking) :] = patterns[i]
     return out
 
 
@@ -122,34 +133,48 @@ class LabelModel:
 
     A voter that says nothing abstains: insults of one language say nothing about another's. Texts
     without any vote have a prior of their own. Rows whose label is known keep it while rates are
-    estimated; their posteriors still come from the votes alone."""
+    estimated; their posteriors still come from the votes alone. All that a round needs of the rows is
+    sums, so rows may lie anywhere: `others` gives the sums of rows that are not here."""
 
-    def fit(self, v: np.ndarray, known: np.ndarray, rounds: int = 30) -> LabelModel:
-        """known: labels, NaN where there is none."""
-        given = ~np.isnan(known)
-        q = np.where(given, known, np.where(v.any(1), 0.5, 0.05))
-        self.weight = np.ones(v.shape[1])
+    def fit(self, v: np.ndarray, known: np.ndarray, rounds: int = 30, others: Callable[[LabelModel, bool], np.ndarray] | None = None) -> LabelModel:
+        """known: labels, NaN where there is none. others(model, squares): sums() of further rows."""
+        k = v.shape[1]
+        self.weight, self.prior, self.size = np.ones(k), None, k
         for i in range(rounds):
+            total = self.sums(v, known) + (others(self, False) if others else 0)
+            n, n1, silent, silent1 = total[:4]
             # A yes is rarer in other texts: the pseudo-counts say so and keep the classes from swapping.
-            self.yes1 = (q @ v + 0.1) / (q.sum() + 2)
-            self.yes0 = ((1 - q) @ v + 0.3) / ((1 - q).sum() + 2)
-            self.prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-            silent = ~v.any(1)
-            self.silent = np.clip((q[silent].sum() + 0.1) / (silent.sum() + 2), 1e-4, 0.5)
+            yes1, yes0 = (total[4 : 4 + k] + 0.1) / (n1 + 2), (total[4 + k :] + 0.3) / (n - n1 + 2)
+            prior = np.clip(n1 / max(n, 1), 1e-3, 1 - 1e-3)
+            change = 1 if self.prior is None else max(np.abs(yes1 - self.yes1).max(initial=0), np.abs(yes0 - self.yes0).max(initial=0), abs(prior - self.prior))
             if i in (1, 5):
-                self.weight = self.shared(v, q)
-            new = self.posterior(v)
-            change, q = np.abs(np.where(given, known, new) - q).max(), np.where(given, known, new)
+                # Squares are taken around what the rows' present classes lead to expect.
+                squares = self.sums(v, known, (yes1, yes0)) + (others(self, (yes1, yes0)) if others else 0)
+                self.weight = self.shared(squares.reshape(k, k) / max(n, 1))
+            self.yes1, self.yes0, self.prior = yes1, yes0, prior
+            self.silent = np.clip((silent1 + 0.1) / (silent + 2), 1e-4, 0.5)
             if change < 1e-4 and i > 5:
                 break
         return self
 
-    def shared(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def sums(self, v: np.ndarray, known: np.ndarray | None = None, rates: tuple | None = None, n: np.ndarray | None = None) -> np.ndarray:
+        """Of rows with votes v, n of each: their number, that of toxic ones, the same of silent rows, and
+        yes votes by class; with rates, the products of what each two voters say beyond the expected."""
+        n = np.ones(len(v)) if n is None else n
+        any_vote = v.any(1)
+        q = np.where(any_vote, 0.5, 0.05) if self.prior is None else self.posterior(v)
+        if known is not None:
+            q = np.where(np.isnan(known), q, known)
+        if rates:
+            rest = v - np.outer(q, rates[0]) - np.outer(1 - q, rates[1])
+            return ((rest * n[:, None]).T @ rest).ravel()
+        quiet = n * ~any_vote
+        return np.r_[n.sum(), n @ q, quiet.sum(), quiet @ q, (n * q) @ v, (n * (1 - q)) @ v]
+
+    def shared(self, moments: np.ndarray) -> np.ndarray:
         """Weight of each voter: one over the voters it agrees with beyond what the class explains."""
-        expected = np.outer(q, self.yes1) + np.outer(1 - q, self.yes0)
-        rest = v - expected
-        sd = np.sqrt((rest * rest).mean(0)) + 1e-6
-        self.correlation = (rest.T @ rest) / len(v) / np.outer(sd, sd)
+        sd = np.sqrt(np.diag(moments)) + 1e-6
+        self.correlation = moments / np.outer(sd, sd)
         return 1 / np.clip(self.correlation, 0, 1).sum(1).clip(1)
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
@@ -159,6 +184,76 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
+class _Ballots(dict):
+    """Votes of a lower-case word, as bits."""
+
+    def __init__(self, lexicons: list[set[bytes]]):
+        self.voters = {}
+        for i, terms_of in enumerate(lexicons):
+            for t in terms_of:
+                self.voters[t] = self.voters.get(t, 0) | 1 << i
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        own = word.strip(_STRIP)
+        out = self.voters.get(own + b"$", 0) if own else 0
+        for k in BEGINNINGS:
+            if len(own) > k:
+                out |= self.voters.get(own[:k], 0)
+        self[word] = out
+        return out
+
+
+def vote_counts(docs: DataFrame, induced: list[bytes], without: set[int]) -> DataFrame:
+    """votes (bits, in the order of votes()) and n: how many documents outside the held-out fold vote so, in
+    their whole texts; ids in `without` are left out. Tasks add up before they send."""
+    shared = docs.sparkSession.sparkContext.broadcast((induced, without))
+    schema = pa.schema([("votes", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        induced, without = shared.value
+        own = lexicons(induced)
+        ballots, total = _Ballots(own), Counter()
+        for batch in batches:
+            for row, text in zip(batch["id"].to_pylist(), blob(batch["text"]), strict=True):
+                if row in without:
+                    continue
+                said = reduce(or_, map(ballots.__getitem__, set(text.lower().split())), 0)
+                for i, p in enumerate(PATTERNS, len(own)):
+                    said |= (p.search(text) is not None) << i
+                total[said] += 1
+            if len(total) > 100_000:
+                yield pa.record_batch([pa.array(list(x), pa.int64()) for x in zip(*total.items(), strict=True)], schema=schema)
+                total = Counter()
+        if total:
+            yield pa.record_batch([pa.array(list(x), pa.int64()) for x in zip(*total.items(), strict=True)], schema=schema)
+
+    bounded_batches(docs.sparkSession)
+    rows = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return materialize(rows.mapInArrow(run, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")))
+
+
+def unpacked(bits: np.ndarray, voters: int) -> np.ndarray:
+    return (bits[:, None] >> np.arange(voters) & 1).astype(np.int8)
+
+
+def summed_votes(counts: DataFrame, voters: int) -> Callable[[LabelModel, bool], np.ndarray]:
+    """The `others` of LabelModel.fit(): sums over counts(votes, n), made where the rows lie. The driver
+    gets one vector of a size fixed by the voters from each batch, whatever the number of vote patterns."""
+
+    def total(model: LabelModel, rates: tuple | bool) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(voters * voters if rates else 4 + 2 * voters)
+            for batch in batches:
+                out += model.sums(unpacked(batch["votes"].to_numpy(), voters), None, rates or None, batch["n"].to_numpy().astype(float))
+            yield pa.record_batch([pa.array([out], pa.list_(pa.float64()))], names=["sums"])
+
+        return sum((np.array(r["sums"]) for r in counts.mapInArrow(run, "sums array<double>").toLocalIterator()), np.zeros(voters * voters if rates else 4 + 2 * voters))
+
+    return total
+
+
 def telling(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Which features are worth a weight: more frequent in toxic rows by two standard errors, and in
     enough of them that a few copies of one text don't qualify."""
@@ -193,26 +288,33 @@ def unlabelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return training_texts(docs, ids.withColumn("y", F.lit(None).cast("int")), sample)
 
 
-def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
-    """Words, labels (NaN where there is none), votes and induced voters of the training rows."""
+def training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes], set[int]]:
+    """Words, labels (NaN where there is none), votes, induced voters and labelled ids of the training rows."""
     known = labelled(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD_OUT, sample)
     chosen = voted(known.unionByName(unlabelled(docs, labels, sample // 3)))
     rows = chosen.toPandas().sort_values(["id", "words"], kind="stable")
     texts, y = [bytes(w) for w in rows["words"]], rows["y"].to_numpy(float)
     told = np.flatnonzero(~np.isnan(y))
     induced = induce([texts[i] for i in told], y[told]) if len(told) else []
-    return texts, y, votes(texts, rows["patterns"].tolist(), induced), induced
+    return texts, y, votes(texts, rows["patterns"].tolist(), induced), induced, set(rows["id"].iloc[told].tolist())
+
+
+def label_model(docs: DataFrame, y: np.ndarray, v: np.ndarray, induced: list[bytes], told: set[int]) -> LabelModel:
+    """EM over the labelled training rows and the votes of all other documents outside the held-out fold."""
+    seeds = ~np.isnan(y)
+    counts = vote_counts(docs, induced, told)
+    return LabelModel().fit(v[seeds], y[seeds], others=summed_votes(counts, v.shape[1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights of the classifier, from at most `sample` labelled rows outside the held-out fold and a third
-    as many without a label."""
-    texts, y, v, _ = training(docs, labels, sample)
+    """Weights of the classifier. Every document outside the held-out fold votes; the classifier then learns
+    the posteriors of at most `sample` labelled rows of that part and a third as many without a label."""
+    texts, y, v, induced, told = training(docs, labels, sample)
     if not len(texts):
         weights = np.zeros((1 << BITS) + 1, np.float32)
         weights[-1] = np.log(0.05 / 0.95)  # nothing is known: not toxic
         return weights
-    soft = LabelModel().fit(v, y).posterior(v)
+    soft = label_model(docs, y, v, induced, told).posterior(v)
     make = featurizer()
     rows = [make(text)[0].astype(np.int64) for text in texts]
     keep = telling(rows, soft, 1 << BITS)

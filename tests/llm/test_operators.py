@@ -587,7 +587,7 @@ def test_toxicity_labels_by_em(spark):
     p, n = model.posterior(v), v.sum(1)
     assert (p[n > 2] > 0.9).all() and (p[n == 0] < 0.5).all() and p[y > 0.5].mean() > 3 * p[y < 0.5].mean()
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    _, known, _, _ = toxicity.training(d, labels, toxicity.SAMPLE)
+    _, known, _, _, _ = toxicity.training(d, labels, toxicity.SAMPLE)
     assert np.isnan(known).sum() > 100 and (~np.isnan(known)).sum() > 100
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     found = toxicity.classify(d, labels.limit(0)).collect()
@@ -596,6 +596,27 @@ def test_toxicity_labels_by_em(spark):
     assert sum(told) >= 0.8 * len(told) > 0
 
 
+def test_every_document_votes(spark):
+    own = random.Random(5)
+    words = "you utter idiot moron stupid scum kill trash foobarish foobared nice day sun walk".split()
+    texts = [" ".join(own.choice(words[8:] if own.random() < 0.7 else words) for _ in range(6)) for _ in range(400)] + [None, "", "$#@! x"]
+    docs = docs_of(spark, texts)
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 != 0]
+    seeds = train[:40]
+    y = np.array([float("idiot" in texts[i] or "scum" in texts[i]) for i in seeds])
+    induced = [b"foobar", b"nice$"]
+    said = lambda ids: toxicity.votes([(texts[i] or "").encode().lower() for i in ids], [[p.search((texts[i] or "").encode()) is not None for p in toxicity.PATTERNS] for i in ids], induced)
+    rest = [i for i in train if i not in seeds]
+    counts = toxicity.vote_counts(docs, induced, set(seeds))
+    v = said(rest)
+    assert {tuple(toxicity.unpacked(np.array([r.votes]), v.shape[1])[0]): r.n for r in counts.collect()} == dict(collections.Counter(map(tuple, v)))
+    a = toxicity.LabelModel().fit(said(seeds), y, others=toxicity.summed_votes(counts, v.shape[1]))
+    b = toxicity.LabelModel().fit(np.concatenate([said(seeds), v]), np.concatenate([y, np.full(len(rest), np.nan)]))
+    alone = toxicity.LabelModel().fit(said(seeds), y)
+    assert np.allclose(a.yes1, b.yes1) and np.allclose(a.weight, b.weight) and np.allclose(a.posterior(v), b.posterior(v))
+    assert np.abs(a.yes1 - alone.yes1).max() > 0.01  # documents without labels move the rates
+
+
 def test_ftrl_learns_and_stays_sparse():
     from sqlloom.llm.linear import Ftrl
 
