@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterable
 
 from .functions.detect import candidates
 from .functions.text import split_statements
+from .operators.lineage import PLUGINS as DIALECTS
 from .operators.lineage import record
 from .plans.lineage import Result
 from .plans.statements import parse_script as _parse_script
 from .plans.statements import parse_statement
 
 _parser: Callable = _parse_script
-#: Parsers of further dialects: name -> function of (sql, dialect, temporary relations) to Result.
-DIALECTS: dict[str, Callable] = {}
 
 
 def configure(parser: Callable | None) -> None:

@@ -13,28 +13,30 @@ from .text import strip_comments
 # text without comments. Dialects are tried in this order; equal confidence keeps it.
 ANCHORS = (
     ("MYSQL", 0.92, (
-        r"\bupdate\b.*\bjoin\b.*\bset\b", r"\bdelete\b.*\busing\b", r"\bdelete\b.*\bfrom\b.*\bjoin\b", r"^\s*replace\s+into\b",
+        r"\bupdate\b.+\bjoin\b.+\bset\b", r"\bdelete\b.+\busing\b", r"\bdelete\b.+\bfrom\b.+\bjoin\b", r"^\s*replace\s+into\b",
         r"^\s*rename\s+table\b", r"^\s*lock\s+tables\b", r"^\s*unlock\s+tables\b", r"^\s*update\s+(low_priority|ignore)\b",
-        r"^\s*delete\b.*\b(low_priority|quick|ignore)\b", r"^\s*alter\s+algorithm\b.*\bview\b", r"\binto\s+(outfile|dumpfile)\b",
-        r"\son\s+duplicate\s+key\s", r"->", r"\bdiv\b", r"\bmod\b", r"\blimit\s+\d+\s*,\s*\d+")),
+        r"^\s*delete\s+.*\b(low_priority|quick|ignore)\b", r"^\s*alter\s+algorithm\b.*\bview\b", r"\binto\s+(out|dump)file\b",
+        r" on duplicate key ", r"->", r"\bdiv\b", r"\bmod\b", r"\blimit\s+\d+\s*,\s*\d+")),
     ("OCEANBASE", 0.94, (r"oceanbase", r"ob_read_consistency")),
     ("OCEANBASE", 0.45, (r"_ob_",)),
-    ("POSTGRESQL", 0.92, (r"\son\s+conflict\s", r"\breturning\b", r"::\s*[a-z_]", r"\bilike\b")),
-    ("HIVE", 0.90, (r"row\s+format", r"stored\s+as", r"serdeproperties", r"clustered\s+by")),
-    ("FLINK", 0.93, (r"'connector'", r"\"connector\"", r"watermark\s+for", r"with\s+connector")),
+    ("POSTGRESQL", 0.92, (r" on conflict ", r"\breturning\b", r"::\s*[a-zA-Z_][a-zA-Z0-9_]*", r"\bilike\b")),
+    ("HIVE", 0.90, (r"\brow\s+format\b", r"\bstored\s+as\b", r"\bserdeproperties\b", r"\bclustered\s+by\b")),
+    ("FLINK", 0.93, (r"'connector'", r"\"connector\"", r"\bwatermark\s+for\b", r"\bwith\s+connector\b")),
     ("STARROCKS", 0.93, (
-        r"create\s+table\b.*\b(duplicate\s+key|aggregate\s+key|distributed\s+by\s+hash)", r"create\s+routine\s+load", r"load\s+label",
-        r"refresh\s+materialized\s+view", r"\sproperties\s*\(\s*\"replication_num\"")),
+        r"\bcreate\s+table\b.+\bduplicate\s+key\b", r"\bcreate\s+table\b.+\baggregate\s+key\b", r"\bcreate\s+table\b.+\bdistributed\s+by\s+hash\b",
+        r"\bcreate\s+routine\s+load\b", r"\bload\s+label\b", r"\brefresh\s+materialized\s+view\b", r" properties \(\"replication_num\"")),
     ("ORACLE", 0.90, (r"\bfrom\s+dual\b", r"\bconnect\s+by\b", r"\bstart\s+with\b")),
-    ("SQLSERVER", 0.91, (r"\bselect\s+top\s*\(?\s*\d+", r"(^|[^a-z0-9_.)`])\[[a-z_@#][^\]]*\]", r"with\s*\(\s*nolock\s*\)")),
+    # A bracket opens an identifier unless a name, a dot, a closing parenthesis or a back quote is right before it;
+    # characters beyond ASCII count as letters.
+    ("SQLSERVER", 0.91, (r"\bselect\s+top\s+\d+\b", r"(^|[^a-z0-9\u0080-\uffff_.)`])\[[a-z\u0080-\uffff_@#][^\]]*\]", r"\bwith\s*\(\s*nolock\s*\)")),
 )
 # The anchors of the Spark dialect, strong and general, and the confidence without any.
 SPARK_STRONG = (
-    r"\$\{", r"#day#", r"`", r"\bcast\s*\(.*\bas\s+string\s*\)",
+    r"\$\{", r"#day#", r"`", r"\bcast\s*\([^)]*\bas\s+string\s*\)",
     r"\b(get_json_object|regexp_replace|regexp_extract|date_format|date_sub|from_unixtime|unix_timestamp|collect_list|collect_set|named_struct|posexplode|explode|if|ifnull|nvl)\s*\(",
-    r"\brlike\b", r"[a-z0-9_)]\[",
+    r"\brlike\b", r"[a-z0-9\u0080-\uffff_)`]\[",
 )
-SPARK_GENERAL = (r"\binsert\s+overwrite\b", r"\blateral\s+view\b", r"\bcreate\s+temporary\s+view\b", r"\bqualify\b", r"\b(distribute|cluster|sort)\s+by\b", r"\susing\s")
+SPARK_GENERAL = (r"insert overwrite", r"lateral view", r"create temporary view", r"\bqualify\b", r"\b(distribute|cluster|sort)\s+by\b", r" using ")
 SPARK = (0.96, 0.93, 0.50)
 
 
@@ -42,8 +44,8 @@ def _any(patterns: tuple[str, ...]) -> str:
     return "(?s)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-_PYTHON = [(d, c, re.compile(_any(ps))) for d, c, ps in ANCHORS]
-_STRONG, _GENERAL = re.compile(_any(SPARK_STRONG)), re.compile(_any(SPARK_GENERAL))
+_PYTHON = [(d, c, re.compile(_any(ps), re.A)) for d, c, ps in ANCHORS]
+_STRONG, _GENERAL = re.compile(_any(SPARK_STRONG), re.A), re.compile(_any(SPARK_GENERAL), re.A)
 
 
 def candidates(sql: str) -> list[tuple[str, float]]:

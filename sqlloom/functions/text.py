@@ -49,7 +49,31 @@ def split_statements(script: str) -> list[str]:
             part.append(c)
         i += 1
     out.append("".join(part))
-    return [p.strip() for p in out if strip_comments(p).strip()]
+    return _blocks([p.strip() for p in out if strip_comments(p).strip()])
+
+
+#: Statements whose body holds statements of its own, up to the END of their BEGIN.
+_BLOCK = re.compile(r"\s*(?:execute\s+statement\s+set\s+begin|create\s+(?:or\s+(?:replace|alter)\s+)?(?:procedure|proc|function|trigger|package)\b.*\bbegin)\b", re.I | re.S)
+_OPEN = re.compile(r"\bbegin\b(?!\s+(?:tran|transaction|try|catch)\b)", re.I)
+_CLOSE = re.compile(r"\s*end\b(?!\s*(?:if|loop|case|while|repeat|for)\b)", re.I)
+
+
+def _blocks(parts: list[str]) -> list[str]:
+    """parts, with those of one block joined again; a block without its END stays in parts."""
+    out, i = [], 0
+    while i < len(parts):
+        end, depth = i, 0
+        if _BLOCK.match(strip_comments(parts[i])):
+            depth = len(_OPEN.findall(strip_comments(parts[i])))
+            while depth and end + 1 < len(parts):
+                end += 1
+                text = strip_comments(parts[end])
+                depth += len(_OPEN.findall(text)) - bool(_CLOSE.match(text))
+        if depth:
+            end = i
+        out.append(";\n".join(parts[i : end + 1]))
+        i = end + 1
+    return out
 
 
 _COMMENT = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|--[^\n]*|/\*.*?(?:\*/|\Z)""", re.S)

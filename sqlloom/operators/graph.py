@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import column_edges, column_usage
 
-#: First match wins. Labels and patterns of statements whose columns are not followed.
+# Classes of statements whose columns are not followed and what must be found in the
+# lower-case text; the first match wins. None stands for a text without " from ".
 NO_COLUMN_CLASSES = (
-    ("SELECT_STAR", r"(?s)select\s+(\w+\.)?\*"),
-    ("COUNT_STAR_OR_AGG", r"(?s)\b(count|sum|max|min|avg)\s*\("),
+    ("SELECT_STAR", r"(?s)select\s+\*"),
+    ("COUNT_STAR_OR_AGG", r"(?s)select\s+[^;]*(^|[^a-z_])count\s*\(\s*\*"),
     ("NO_FROM_OR_METADATA", None),
-    ("CONSTANT_PROJECTION", r"(?s)select\s+('[^']*'|\d+)\s*(,|from|$)"),
-    ("LATERAL_OR_EXPLODE", r"(?s)\b(lateral|explode)\b"),
-    ("CTE", r"(?s)^\s*with\b"),
-    ("UNION", r"(?s)\bunion\b"),
-    ("EXPRESSION", r"(?s)[-+*/(]"),
+    ("CONSTANT_PROJECTION", r"(?s)select\s+('[^']*'|[0-9]+|null|true|false)(\s+as\s+[`a-z_].*)?\s+from\s+"),
+    ("LATERAL_OR_EXPLODE", r" lateral view | explode\("),
+    ("CTE", r"^with "),
+    ("UNION", r" union "),
+    ("EXPRESSION", r"(?s)select\s+[^;]*(case\s+when|if\s*\(|coalesce\s*\(|nvl\s*\(|regexp_|get_json_object|concat\s*\()"),
 )
 
 
@@ -26,37 +30,51 @@ def column_graph(found: DataFrame) -> DataFrame:
     return e.select(F.concat_ws(".", "source_table", "source_column").alias("src"), F.concat_ws(".", "target_table", "target_column").alias("dst")).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Rounds after which the parts of a growing result are written as one.
+FOLD = 16
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, depth): every node that edges(src, dst) reach from seeds(node), at its least depth.
 
-    Breadth first; each round joins only the new frontier, keeps what is new and cuts its lineage with
-    a checkpoint. A seed is its own node at depth 0."""
+    Breadth first, until a round finds nothing new, however deep that is; each round joins only the new
+    frontier and writes it with a checkpoint. Frontiers are appended; the nodes seen are their union, which
+    is written anew every FOLD rounds so that the plan stays short. A seed is its own node at depth 0."""
     edges = cut(edges.select("src", "dst").distinct())
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct().checkpoint()
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
+    frontier = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("depth")).distinct())
+    parts, depth = [frontier], 0
+    while True:
+        depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        seen = reduce(DataFrame.unionByName, parts)
+        frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionByName(frontier).checkpoint()
-    return seen
+        parts.append(frontier)
+        if len(parts) == FOLD:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder: computed once, and safe when executors go."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark))
-    return df.checkpoint()
+_own: dict[str, str] = {}
+
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; one of our own only in local mode where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        root = _own[app] = _own.get(app) or f"file://{tempfile.mkdtemp(prefix='sqlloom-')}"
+    return root.rstrip("/")
 
-def _checkpoint_dir(spark) -> str:
-    import tempfile
 
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="sqlloom-")
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed in the shared folder: computed once, and safe when executors go."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -103,6 +121,6 @@ def statement_histogram(found: DataFrame) -> DataFrame:
 def no_column_class(sql: Column) -> Column:
     text, out = F.lower(sql), None
     for label, pattern in NO_COLUMN_CLASSES:
-        hit = text.rlike(pattern) if pattern else ~text.rlike(r"(?s)\bfrom\b")
+        hit = text.rlike(pattern) if pattern else ~text.contains(" from ")
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise("OTHER")

@@ -64,16 +64,35 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df.repartition(per_core * cores)
 
 
+#: Readers of further dialects: name -> function of (statement, dialect, temporary relations) to a result.
+PLUGINS: dict[str, Callable] = {}
+#: Statements after which an Arrow batch ends.
+STATEMENTS = 2000
+
+
+def plugged(parser: Callable, dialect: str | None) -> Callable:
+    """parser, or the registered reader of the dialect as a script parser. It travels with the query, so what
+    is registered when lineage() is called is what workers use."""
+    own = PLUGINS.get((dialect or "").upper())
+    return parser if own is None else lambda text, name: [(s, 1.0, own(s, name.upper(), {})) for s in split_statements(text)]
+
+
 def lineage(scripts: DataFrame, sql: str = "sql", script_id: str = "script_id", dialect: str | None = None, parser: Callable = parse_script) -> DataFrame:
     """One row for each statement of scripts(script_id, sql), batch or streaming.
 
     dialect fixes the dialect (confidence 1); else each statement's is detected. parser may be another
-    function from (script, dialect) to (statement, confidence, result) rows."""
+    function from (script, dialect) to (statement, confidence, result) rows; a dialect of PLUGINS has its own."""
     schema = _arrow_schema()
+    read = plugged(parser, dialect)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [record(i, k, *s) for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) for k, s in enumerate(parser(text or "", dialect))]
+            out = []
+            for i, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                out += [record(i, k, *s) for k, s in enumerate(read(text or "", dialect))]
+                if len(out) >= STATEMENTS:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out = []
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return spread(scripts.select(F.col(script_id).cast("long"), F.col(sql).cast("string"))).mapInArrow(run, RESULT)
@@ -108,6 +127,13 @@ def stmt_tables(found: DataFrame) -> DataFrame:
     return both.select(*_KEY, "role", "ord", "t.*", full_name(F.col("t")).alias("full_name"))
 
 
+def typed_tables(found: DataFrame) -> DataFrame:
+    """A row for each table of a statement with the statement's type, from one reading of the scripts."""
+    role = lambda name, label: F.transform(name, lambda t, i: F.struct(F.lit(label).alias("role"), i.alias("ord"), t.alias("t")))
+    each = found.select(*_KEY, "statement_type", F.explode(F.concat(role("inputs", "input"), role("outputs", "output"))).alias("r"))
+    return each.select(*_KEY, "statement_type", "r.role", "r.ord", full_name(F.col("r.t")).alias("full_name"))
+
+
 def column_edges(found: DataFrame) -> DataFrame:
     """A row for each source of each edge; edges without sources keep one row."""
     e = found.select(*_KEY, F.posexplode("edges").alias("edge_ord", "e"))

@@ -3,24 +3,63 @@ plain tables, hierarchical queries, change feeds and table functions."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: Sequence[str], values: Sequence[str], prefix: str = "r_") -> DataFrame:
+
+#: Ranges of a sorted number that a key's rows are dealt to, for each shuffle partition.
+RANGES = 2
+
+
+def ranges(column: str, *frames: DataFrame, n: int | None = None) -> list:
+    """At most n - 1 bounds (as doubles) that cut the column's values of all frames into ranges of like size."""
+    n = n or RANGES * int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = reduce(DataFrame.unionByName, [f.select(_number(f, column).alias("x")) for f in frames])
+    at = both.agg(F.percentile_approx("x", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(10 * n))).first()[0] if n > 1 else None
+    return sorted({x for x in at or [] if x is not None})
+
+
+def _number(df: DataFrame, column: str) -> Column:
+    """Dates and times as seconds."""
+    kind = dict(df.dtypes)[column]
+    c = F.unix_micros(F.col(column).cast("timestamp")) / 1e6 if kind.startswith(("timestamp", "date")) else F.col(column)
+    return c.cast("double")
+
+
+def _range_of(number: Column, bounds: list) -> Column:
+    """Number of the range a number falls into; nulls fall into the first."""
+    if not bounds:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= number)), F.lit(0))
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: Sequence[str], values: Sequence[str], prefix: str = "r_", spread: bool | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its `by` key at or before it.
 
-    One union and one running window by key: both sides are shuffled once and no pairs are made.
-    A left row without a match keeps nulls; of right rows at one time the greatest values win."""
+    One union and one running window: both sides are shuffled once and no pairs are made. A left row without
+    a match keeps nulls; of right rows at one time the greatest values win. With `spread` (by default where
+    `by` is empty) a key's rows are dealt to ranges of time, so that no task has a whole key: the last right
+    row of each range, one small row for a range and key, is carried over to the ranges after it."""
     n = "__asof"
+    spread = not by if spread is None else spread
+    bounds = ranges("x", left.select(F.col(left_on).alias("x")), right.select(F.col(right_on).alias("x"))) if spread else []
     cols = left.columns
-    a = left.select(*by, F.col(left_on).alias(f"{n}_t"), F.lit(1).alias(f"{n}_s"), F.struct(*cols).alias(f"{n}_l"), F.lit(None).cast(right.select(F.struct(right_on, *values).alias("v")).schema["v"].dataType).alias(f"{n}_r"))
-    b = right.select(*by, F.col(right_on).alias(f"{n}_t"), F.lit(0).alias(f"{n}_s"), F.lit(None).cast(a.schema[f"{n}_l"].dataType).alias(f"{n}_l"), F.struct(right_on, *values).alias(f"{n}_r"))
-    w = Window.partitionBy(*by).orderBy(f"{n}_t", f"{n}_s", F.col(f"{n}_r")).rowsBetween(Window.unboundedPreceding, 0)
+    a = left.select(*by, F.col(left_on).alias(f"{n}_t"), _range_of(_number(left, left_on), bounds).alias(f"{n}_g"), F.lit(1).alias(f"{n}_s"), F.struct(*cols).alias(f"{n}_l"), F.lit(None).cast(right.select(F.struct(right_on, *values).alias("v")).schema["v"].dataType).alias(f"{n}_r"))
+    b = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias(f"{n}_t"), _range_of(_number(right, right_on), bounds).alias(f"{n}_g"), F.lit(0).alias(f"{n}_s"), F.lit(None).cast(a.schema[f"{n}_l"].dataType).alias(f"{n}_l"), F.struct(right_on, *values).alias(f"{n}_r"))
+    w = Window.partitionBy(*by, f"{n}_g").orderBy(f"{n}_t", f"{n}_s", F.col(f"{n}_r")).rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn(f"{n}_m", F.last(f"{n}_r", ignorenulls=True).over(w)).filter(F.col(f"{n}_s") == 1)
+    if bounds:
+        lasts = b.groupBy(*by, f"{n}_g").agg(F.max(f"{n}_r").alias(f"{n}_r"))
+        every = lasts.select(*by).distinct().withColumn(f"{n}_g", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))))
+        order = Window.partitionBy(*by).orderBy(f"{n}_g").rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.join(lasts, [*by, f"{n}_g"], "left").withColumn(f"{n}_c", F.last(f"{n}_r", ignorenulls=True).over(order)).drop(f"{n}_r")
+        both = both.join(carried, [*by, f"{n}_g"], "left").withColumn(f"{n}_m", F.when(F.col(f"{n}_t").isNotNull(), F.coalesce(f"{n}_m", f"{n}_c")))
     return both.select(f"{n}_l.*", *[F.col(f"{n}_m.{c}").alias(prefix + c) for c in (right_on, *values)])
 
 
@@ -31,30 +70,54 @@ def asof_within(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     return out.withColumns({f"r_{c}": F.when(fresh, F.col(f"r_{c}")) for c in (right_on, *values)})
 
 
-def nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: Sequence[str], key: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: Sequence[str], key: str, spread: bool = True) -> DataFrame:
     """NEAREST BY: for each left row the right row of its key that is nearest on one number; ties go to
-    the lower right value. The candidates are the neighbours on either side in one sorted union."""
+    the lower right value. The candidates are the neighbours on either side in one sorted union. With `spread`
+    a key's rows are dealt to ranges of the number; the nearest right rows of other ranges come from a table
+    with the least and greatest right row of each range and key."""
     n = "__near"
+    bounds = ranges("x", left.select(F.col(left_on).alias("x")), right.select(F.col(right_on).alias("x"))) if spread else []
+    g = _range_of(F.col(f"{n}_x"), bounds).alias(f"{n}_g")
     a = left.select(*by, F.col(left_on).cast("double").alias(f"{n}_x"), F.struct(*left.columns).alias(f"{n}_l"), F.lit(None).cast("double").alias(f"{n}_v"), F.lit(None).cast(right.schema[key].dataType).alias(f"{n}_k"), F.lit(1).alias(f"{n}_s"))
-    b = right.groupBy(*by, F.col(right_on).cast("double").alias(f"{n}_v")).agg(F.min(key).alias(f"{n}_k"))
+    b = right.filter(F.col(right_on).isNotNull()).groupBy(*by, F.col(right_on).cast("double").alias(f"{n}_v")).agg(F.min(key).alias(f"{n}_k"))
     b = b.select(*by, F.col(f"{n}_v").alias(f"{n}_x"), F.lit(None).cast(a.schema[f"{n}_l"].dataType).alias(f"{n}_l"), f"{n}_v", f"{n}_k", F.lit(0).alias(f"{n}_s"))
-    order = Window.partitionBy(*by).orderBy(f"{n}_x", f"{n}_s")
+    order = Window.partitionBy(*by, f"{n}_g").orderBy(f"{n}_x", f"{n}_s")
     pair = F.when(F.col(f"{n}_s") == 0, F.struct(f"{n}_v", f"{n}_k"))
     below = F.last(pair, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     above = F.first(pair, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    out = a.unionByName(b).withColumns({f"{n}_b": below, f"{n}_a": above}).filter(F.col(f"{n}_s") == 1)
+    out = a.unionByName(b).withColumn(f"{n}_g", g).withColumns({f"{n}_b": below, f"{n}_a": above}).filter(F.col(f"{n}_s") == 1)
+    if bounds:
+        ends = b.withColumn(f"{n}_g", g).groupBy(*by, f"{n}_g").agg(F.max(F.struct(f"{n}_v", f"{n}_k")).alias("hi"), F.min(F.struct(f"{n}_v", f"{n}_k")).alias("lo"))
+        every = ends.select(*by).distinct().withColumn(f"{n}_g", F.explode(F.sequence(F.lit(0), F.lit(len(bounds)))))
+        w = Window.partitionBy(*by).orderBy(f"{n}_g")
+        carried = every.join(ends, [*by, f"{n}_g"], "left").select(
+            *by, f"{n}_g", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{n}_cb"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"{n}_ca")
+        )
+        out = out.join(carried, [*by, f"{n}_g"], "left").withColumns({f"{n}_b": F.coalesce(f"{n}_b", f"{n}_cb"), f"{n}_a": F.coalesce(f"{n}_a", f"{n}_ca")})
     gap = lambda c: F.abs(F.col(f"{c}.{n}_v") - F.col(f"{n}_x"))
     low = F.col(f"{n}_a").isNull() | (gap(f"{n}_b") <= gap(f"{n}_a"))
     best = F.when(F.col(f"{n}_b").isNotNull() & low, F.col(f"{n}_b")).otherwise(F.col(f"{n}_a"))
+    best = F.when(F.col(f"{n}_x").isNotNull(), best)
     return out.withColumn(f"{n}_m", best).select(f"{n}_l.*", F.col(f"{n}_m.{n}_k").alias(f"near_{key}"), F.col(f"{n}_m.{n}_v").alias(f"near_{right_on}"))
 
 
+#: Buckets that an interval covers at most, less one.
+WIDE = 8
+
+
 def range_join(left: DataFrame, right: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """left rows whose `at` lies in [low, high] of a right row. Intervals are dealt to buckets of `width`,
-    which turns the range condition into an equi join plus a filter."""
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    dealt = right.withColumn("__b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return left.withColumn("__b", bucket(at)).join(dealt, "__b").filter(F.col(at).between(F.col(low), F.col(high))).drop("__b")
+    """left rows whose `at` lies in [low, high] of a right row. Intervals are dealt to buckets, which turns
+    the range condition into an equi join plus a filter. Buckets are `width` wide at level 0 and WIDE times
+    wider at each level after it; an interval takes the least level at which it covers few of them, and a left
+    row looks into its bucket of each level that occurs."""
+    span = F.col(high) - F.col(low)
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(WIDE), F.greatest(span / width, F.lit(1.0)) / WIDE))).cast("int")
+    bucket = lambda c, lv: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(float(WIDE)), lv))).cast("long")
+    sized = right.filter(F.col(low) <= F.col(high)).withColumn("__v", level)
+    levels = sorted(r[0] for r in sized.select("__v").distinct().collect())  # the logarithm of the widest interval
+    dealt = sized.withColumn("__b", F.explode(F.sequence(bucket(low, F.col("__v")), bucket(high, F.col("__v")))))
+    looking = left.withColumn("__v", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__b", bucket(at, F.col("__v")))
+    return looking.join(dealt, ["__v", "__b"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("__v", "__b")
 
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
@@ -81,11 +144,26 @@ def update_where(table: DataFrame, condition: Column, values: dict[str, Column])
     return table.select(*[F.when(hit, values[c]).otherwise(F.col(c)).cast(t).alias(c) if c in values else F.col(c) for c, t in table.dtypes])
 
 
+def _counted(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """source with __n, the rows that share its keys; the window takes the join's own exchange."""
+    return source.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+
+
+def _once(n: Column, value: Column) -> Column:
+    """value, or an error where a target row meets several source rows: which one wins would be chance."""
+    return F.when(n > 1, F.raise_error(F.lit("several source rows for one target row"))).otherwise(value)
+
+
 def update_from(table: DataFrame, source: DataFrame, on: str, values: dict[str, str]) -> DataFrame:
-    """UPDATE ... FROM: values of matching source rows (one for each key at most)."""
-    s = source.select(F.col(on), *[F.col(v).alias(f"__{c}") for c, v in values.items()], F.lit(True).alias("__hit"))
+    """UPDATE ... FROM: values of matching source rows. A target row that several source rows match is an error."""
+    s = _counted(source.select(F.col(on), *[F.col(v).alias(f"__{c}") for c, v in values.items()]), [on])
     out = table.join(s, on, "left")
-    return out.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
+    return out.select(*[F.when(F.col("__n").isNotNull(), _once(F.col("__n"), F.col(f"__{c}"))).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
+
+
+def updated(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """The rows that update_where() writes, as they are after it, whether or not a value changes."""
+    return update_where(table.filter(F.coalesce(condition, F.lit(False))), F.lit(True), values)
 
 
 def delete_where(table: DataFrame, condition: Column) -> DataFrame:
@@ -97,11 +175,14 @@ def delete_using(table: DataFrame, source: DataFrame, on: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, source: DataFrame, keys: Sequence[str], update: Sequence[str] | None = None) -> DataFrame:
-    """ON CONFLICT DO UPDATE, or REPLACE INTO with update=None (every column from the source)."""
+    """ON CONFLICT DO UPDATE, or REPLACE INTO with update=None (every column from the source). Source rows that
+    share a key that is not null are an error."""
     cols = table.columns
     update = [c for c in cols if c not in keys] if update is None else update
     t = table.select(*keys, F.struct(*cols).alias("__t"))
-    s = source.select(*keys, F.struct(*cols).alias("__s"))
+    s = _counted(source.select(*keys, F.struct(*cols).alias("__s")), keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    s = s.select(*keys, _once(F.when(known, F.col("__n")), F.col("__s")).alias("__s"))
     both = t.join(s, list(keys), "full_outer")
     pick = lambda c: F.when(F.col("__t").isNull(), F.col(f"__s.{c}")).when(F.col("__s").isNull() | F.lit(c not in update), F.col(f"__t.{c}")).otherwise(F.col(f"__s.{c}"))
     return both.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in cols])
@@ -109,11 +190,14 @@ def upsert(table: DataFrame, source: DataFrame, keys: Sequence[str], update: Seq
 
 def merge(table: DataFrame, source: DataFrame, on: str, *, update: dict[str, Column] | None = None, update_if: Column | None = None, delete_if: Column | None = None, insert: dict[str, Column] | None = None, delete_missing: Column | None = None) -> DataFrame:
     """MERGE as one full outer join. Conditions and values may use columns of the table as they are and
-    those of the source as s_<name>; delete_missing applies to rows without a source row."""
-    s = source.select(F.col(on), *[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("__s"))
+    those of the source as s_<name>; delete_missing applies to rows without a source row. A target row that
+    several source rows match is an error."""
+    s = _counted(source.select(F.col(on), *[F.col(c).alias(f"s_{c}") for c in source.columns]), [on])
+    s = s.withColumn("__s", F.lit(True))
     t = table.withColumn("__t", F.lit(True))
     both = t.join(s, on, "full_outer")
     matched, new, only = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__t").isNull(), F.col("__s").isNull()
+    matched = matched & _once(F.when(matched, F.col("__n")), F.lit(True))
     yes = lambda c, default: F.coalesce(c, F.lit(False)) if c is not None else F.lit(default)
     gone = (matched & yes(delete_if, False)) | (only & yes(delete_missing, False)) | (new & F.lit(insert is None))
     change = matched & yes(update_if, True)
@@ -149,9 +233,31 @@ def replace_using(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
     return table.join(hit, on, "left_anti").unionByName(new)
 
 
-def returning(before: DataFrame, after: DataFrame, *columns: str) -> DataFrame:
-    """RETURNING: the rows that a statement wrote, projected."""
-    return after.exceptAll(before).select(*columns)
+def returning(written: DataFrame, *columns: str) -> DataFrame:
+    """RETURNING: the rows that a statement wrote (inserted rows, updated() or the deleted ones), projected."""
+    return written.select(*columns)
+
+
+def top_percent(df: DataFrame, order: Sequence[Column], percent: float) -> DataFrame:
+    """TOP n PERCENT, FETCH FIRST n PERCENT ROWS: that share of the rows, rounded up, in order."""
+    return df.orderBy(*order).limit(math.ceil(df.count() * percent / 100 - 1e-9))
+
+
+def sample_rows(df: DataFrame, rows: int) -> DataFrame:
+    """TABLESAMPLE (n ROWS)."""
+    return df.limit(rows)
+
+
+def sample_percent(df: DataFrame, percent: float, seed: int) -> DataFrame:
+    """TABLESAMPLE (p PERCENT) REPEATABLE (seed): each row with that chance."""
+    return df.sample(percent / 100, seed)
+
+
+def sample_bytes(df: DataFrame, most: int, size: Column) -> DataFrame:
+    """TABLESAMPLE by bytes: rows until their sizes fill `most` bytes; at least one row of a table that has any.
+    The number of rows is planned from their mean size, in one aggregate."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return df.limit(max(1, int(n * most / total)) if total else n)
 
 
 def snapshot(table: DataFrame, version: str, at) -> DataFrame:
@@ -166,19 +272,29 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return removed.unionByName(after.exceptAll(before).withColumn("change", F.lit("insert")))
 
 
-def connect_by(df: DataFrame, key: str, parent: str, start: Column, max_depth: int = 64) -> DataFrame:
-    """START WITH / CONNECT BY PRIOR: rows with level and path. One join for each level; a node that is
+#: Levels that one job of connect_by goes down.
+LEVELS = 8
+
+
+def connect_by(df: DataFrame, key: str, parent: str, start: Column) -> DataFrame:
+    """START WITH / CONNECT BY PRIOR: rows with level and path, down to the last level, however deep. One join
+    for each level, LEVELS of them in a job, whose result is written with a checkpoint; a node that is
     already on its path is not followed (NOCYCLE)."""
     level = df.filter(start).select("*", F.lit(1).alias("level"), F.array(F.col(key)).alias("path"))
-    out = level
-    for depth in range(2, max_depth + 1):
-        up = level.select(F.col(key).alias("__p"), F.col("path").alias("__path"))
-        step = df.join(up, df[parent] == up["__p"]).filter(~F.array_contains("__path", df[key]))
-        level = step.select(*[df[c] for c in df.columns], F.lit(depth).alias("level"), F.array_append("__path", df[key]).alias("path"))
+    parts, depth = [], 1
+    while True:
+        made = [level]
+        for depth in range(depth + 1, depth + LEVELS + 1):
+            up = level.select(F.col(key).alias("__p"), F.col("path").alias("__path"))
+            step = df.join(up, df[parent] == up["__p"]).filter(~F.array_contains("__path", df[key]))
+            level = step.select(*[df[c] for c in df.columns], F.lit(depth).alias("level"), F.array_append("__path", df[key]).alias("path"))
+            made.append(level)
+        # The first level of this job is the last of the one before.
+        block = cut(reduce(DataFrame.unionByName, made[1:] if parts else made))
+        parts.append(block)
+        level = block.filter(F.col("level") == depth)
         if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    return out
+            return reduce(DataFrame.unionByName, parts)
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:

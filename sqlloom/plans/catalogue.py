@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators.graph import shared_dir
+from ..sources import corpus
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +48,16 @@ def money(c, alias: str):
     return F.round(F.sum(c), 2).alias(alias)
 
 
+def _sampled(whole: DataFrame, sample: DataFrame, share: float) -> DataFrame:
+    """Rows of the table, whether the sample's number is near its share (five deviations, for rows of any size
+    a fifth), and whether all its rows are the table's own."""
+    key = whole.columns[0]
+    n, m = whole.agg(F.count("*").alias("n")), sample.agg(F.count("*").alias("m"))
+    own = sample.select(key).distinct().join(whole.select(key), key, "left_anti").agg(F.count("*").alias("strange"))
+    bound = F.greatest(5 * F.sqrt(C("n") * share * (1 - share)), F.lit(0.2 * share) * C("n")) + 1
+    return n.crossJoin(m).crossJoin(own).select("n", (F.abs(C("m") - share * C("n")) <= bound).alias("near"), (C("strange") == 0).alias("own"))
+
+
 # --- scans, projections, filters ----------------------------------------------------------------
 
 query("SELECT o_orderkey, o_totalprice FROM orders", "scan_project")(lambda t: t.orders.select("o_orderkey", "o_totalprice"))
@@ -68,7 +82,9 @@ query("SELECT o_orderkey, TRY_CAST(o_orderstatus AS INTEGER) AS n, CAST(o_orderk
     lambda t: t.orders.select("o_orderkey", C("o_orderstatus").try_cast("int").alias("n"), C("o_orderkey").cast("string").alias("k"), F.floor("o_totalprice").cast("long").alias("p"))
 )
 query("SELECT * EXCLUDE (s_acctbal) FROM supplier", "star_except")(lambda t: t.supplier.drop("s_acctbal"))
-query(None, "sample_seeded")(lambda t: t.orders.sample(0.1, 7).select("o_orderkey"))
+query("SELECT count(*) AS n, true AS near, true AS own FROM orders", "sample_seeded")(lambda t: _sampled(t.orders, R.sample_percent(t.orders, 10, 7), 0.1))
+query("SELECT least(count(*), 100) AS n FROM orders", "sample_rows")(lambda t: R.sample_rows(t.orders, 100).agg(F.count("*").alias("n")))
+query("SELECT count(*) AS n, true AS near, true AS own FROM documents", "sample_bytes")(lambda t: _sampled(t.documents, R.sample_bytes(t.documents, t.documents.agg(F.sum(F.octet_length("text"))).first()[0] // 4, F.octet_length("text")), 0.25))
 query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3", "sample_bucket")(lambda t: t.orders.filter(F.pmod("o_orderkey", F.lit(10)) == 3).select("o_orderkey"))
 query("SELECT * FROM (VALUES (1, 'a'), (2, 'b')) v(k, s)", "inline_values")(lambda t: t.spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string"))
 query("SELECT range AS id FROM range(5, 25, 4)", "tvf_range")(lambda t: t.spark.range(5, 25, 4))
@@ -79,8 +95,8 @@ query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2", "parameter
 _CO = "customer JOIN orders ON c_custkey = o_custkey"
 query(f"SELECT c_custkey, o_orderkey FROM {_CO}", "inner_join")(lambda t: t.customer.join(t.orders, C("c_custkey") == C("o_custkey")).select("c_custkey", "o_orderkey"))
 for how, sql in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
-    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {sql} JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON c_custkey = o_custkey", f"{how}_join")(
-        lambda t, how=how: t.customer.filter("c_custkey % 3 <> 0").join(t.orders.filter("o_orderkey % 2 = 0"), C("c_custkey") == C("o_custkey"), how).select("c_custkey", "o_orderkey")
+    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c {sql} JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON c_custkey = o_custkey", f"{how}_join")(
+        lambda t, how=how: t.customer.filter("c_mktsegment <> 'BUILDING'").join(t.orders.filter("o_orderstatus <> 'F'"), C("c_custkey") == C("o_custkey"), how).select("c_custkey", "o_orderkey")
     )
 query("SELECT r_regionkey, n_nationkey FROM region CROSS JOIN nation", "cross_join")(lambda t: t.region.crossJoin(t.nation).select("r_regionkey", "n_nationkey"))
 query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "left_semi_join")(
@@ -107,7 +123,7 @@ query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FR
 _CLICK = "(SELECT user_id, event_id, ts FROM events WHERE event_type = 'click')"
 query(f"SELECT a.event_id, b.ts AS r_ts, b.value AS r_value FROM {_CLICK} a ASOF LEFT JOIN (SELECT ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ts) b ON a.ts >= b.ts", "asof_backward")(
     lambda t: R.asof_join(
-        t.events.filter("event_type = 'click'").select(F.lit(0).alias("k"), "event_id", "ts"), t.events.filter("event_type = 'purchase'").groupBy("ts").agg(F.max("value").alias("value")).withColumn("k", F.lit(0)), "ts", "ts", ["k"], ["value"]
+        t.events.filter("event_type = 'click'").select("event_id", "ts"), t.events.filter("event_type = 'purchase'").groupBy("ts").agg(F.max("value").alias("value")), "ts", "ts", [], ["value"]
     ).select("event_id", "r_ts", "r_value")
 )
 query(f"SELECT a.event_id, b.ts AS r_ts, b.value AS r_value FROM {_CLICK} a ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.ts", "asof_by_key")(
@@ -181,11 +197,16 @@ query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS names FROM
 query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50 FROM lineitem GROUP BY 1", "percentile")(
     lambda t: t.lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.percentile("l_extendedprice", 0.5), 4).alias("p50"))
 )
-query(None, "approx_count_distinct")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("n"), F.percentile_approx("l_quantity", 0.5).alias("q")))
+query("SELECT l_returnflag, count(DISTINCT l_partkey) AS n, true AS near, true AS middle FROM lineitem GROUP BY 1", "approx_count_distinct")(
+    # The estimates stand beside the exact values and must be within their error bounds.
+    lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n"), F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.percentile_approx("l_quantity", 0.5, 1000).alias("q"), F.percentile("l_quantity", 0.5).alias("e")).select("l_returnflag", "n", (F.abs(C("a") - C("n")) <= 0.1 * C("n")).alias("near"), (F.abs(C("q") - C("e")) <= 1).alias("middle"))
+)
 query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1", "bitmap_distinct")(
     lambda t: t.lineitem.groupBy("l_returnflag", F.bitmap_bucket_number("l_suppkey").alias("b")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("l_suppkey"))).alias("c")).groupBy("l_returnflag").agg(F.sum("c").alias("n"))
 )
-query(None, "hll_distinct")(lambda t: t.lineitem.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("n")))
+query("SELECT l_returnflag, count(DISTINCT l_partkey) AS n, true AS near FROM lineitem GROUP BY 1", "hll_distinct")(
+    lambda t: t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)).alias("a")).select("l_returnflag", "n", (F.abs(C("a") - C("n")) <= 0.05 * C("n")).alias("near"))
+)
 query("SELECT o_orderpriority, min(o_orderkey) AS lo, max(o_orderkey) AS hi, round(stddev_samp(o_totalprice), 4) AS sd, round(var_pop(o_totalprice), 2) AS vp, round(corr(o_totalprice, o_custkey), 8) AS r FROM orders GROUP BY 1", "statistical_agg")(
     lambda t: t.orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.round(F.stddev_samp("o_totalprice"), 4).alias("sd"), F.round(F.var_pop("o_totalprice"), 2).alias("vp"), F.round(F.corr("o_totalprice", "o_custkey"), 8).alias("r"))
 )
@@ -240,13 +261,13 @@ query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITIO
     lambda t: R.top_k(t.customer, ["c_nationkey"], [F.desc("c_acctbal"), C("c_custkey")], 3).select("c_nationkey", "c_custkey")
 )
 query("SELECT o_orderkey FROM orders", "sort_within_partitions")(lambda t: t.orders.repartition("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey").select("o_orderkey"))
-_SA = "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 7 < 3"
+_SA = "SELECT c_nationkey AS k FROM customer"
 _SB = "SELECT s_nationkey AS k FROM supplier"
 for key, op, call in (
     ("union_all", "UNION ALL", lambda a, b: a.union(b)), ("union_distinct", "UNION", lambda a, b: a.union(b).distinct()), ("intersect", "INTERSECT", lambda a, b: a.intersect(b)), ("intersect_all", "INTERSECT ALL", lambda a, b: a.intersectAll(b)),
     ("except", "EXCEPT", lambda a, b: a.subtract(b)), ("except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b)),
 ):
-    query(f"{_SA} {op} {_SB}", key)(lambda t, call=call: call(t.customer.filter("c_custkey % 7 < 3").select(C("c_nationkey").alias("k")), t.supplier.select(C("s_nationkey").alias("k"))))
+    query(f"{_SA} {op} {_SB}", key)(lambda t, call=call: call(t.customer.select(C("c_nationkey").alias("k")), t.supplier.select(C("s_nationkey").alias("k"))))
 query("SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5 UNION (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_nationkey > 10)", "set_precedence")(
     lambda t: t.nation.filter("n_nationkey < 5").select(C("n_nationkey").alias("k")).union(t.customer.select("c_nationkey").intersect(t.supplier.filter("s_nationkey > 10").select("s_nationkey"))).distinct()
 )
@@ -294,21 +315,21 @@ query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
     lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.none").alias("none"))
 )
 query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", "variant_path")(lambda t: t.events.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k")))
-query("SELECT event_id, x, y FROM events, (VALUES (1::BIGINT, 'a'), (2::BIGINT, 'b')) v(x, y) WHERE event_id % 100 = 0", "json_table")(
-    lambda t: R.json_table(t.events.filter("event_id % 100 = 0").select("event_id", F.lit('{"r":[{"x":1,"y":"a"},{"x":2,"y":"b"}]}').alias("j")), "j", "$.r", {"x": "bigint", "y": "string"}).select("event_id", "x", "y")
+query("SELECT event_id, x, y FROM (SELECT event_id, unnest([{'x': CAST(json_extract(props, '$.k') AS BIGINT), 'y': event_type}, {'x': event_id, 'y': 'b'}], recursive := true) FROM events)", "json_table")(
+    lambda t: R.json_table(t.events.select("event_id", F.format_string('{"r":[{"x":%s,"y":"%s"},{"x":%d,"y":"b"}]}', F.get_json_object("props", "$.k"), "event_type", "event_id").alias("j")), "j", "$.r", {"x": "bigint", "y": "string"}).select("event_id", "x", "y")
 )
 query("SELECT vec_id, len(embedding) AS n, round(embedding[1], 6) AS first, round(list_max(embedding), 6) AS hi, list_contains(embedding, 2.0::FLOAT) AS has FROM embeddings", "array_fns")(
     lambda t: t.embeddings.select("vec_id", long(F.size("embedding")).alias("n"), F.round(C("embedding")[0], 6).alias("first"), F.round(F.array_max("embedding"), 6).alias("hi"), F.array_contains("embedding", 2.0).alias("has"))
 )
-query("SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * 2)), 6) AS s, len(list_filter(embedding, lambda x: x > 0)) AS pos FROM embeddings", "lambda_transform")(
-    lambda t: t.embeddings.select("vec_id", F.round(F.aggregate(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 2), F.lit(0.0), lambda a, x: a + x), 6).alias("s"), long(F.size(F.filter("embedding", lambda x: x > 0))).alias("pos"))
+query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)), 6) AS s, len(list_filter(embedding, lambda x: x > 0)) AS pos FROM embeddings", "lambda_transform")(
+    lambda t: t.embeddings.select("vec_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * 2), F.lit(0.0), lambda a, x: a + x), 6).alias("s"), long(F.size(F.filter("embedding", lambda x: x > 0))).alias("pos"))
 )
-query("SELECT vec_id, round(unnest(embedding), 6) AS v FROM embeddings WHERE vec_id < 50", "explode")(lambda t: t.embeddings.filter("vec_id < 50").select("vec_id", F.explode("embedding").alias("v")).select("vec_id", F.round("v", 6).alias("v")))
-query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS pos, round(unnest(embedding), 6) AS v FROM embeddings WHERE vec_id < 50", "posexplode")(
-    lambda t: t.embeddings.filter("vec_id < 50").select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", long("pos").alias("pos"), F.round("v", 6).alias("v"))
+query("SELECT vec_id, round(unnest(embedding), 6) AS v FROM embeddings", "explode")(lambda t: t.embeddings.select("vec_id", F.explode("embedding").alias("v")).select("vec_id", F.round("v", 6).alias("v")))
+query("SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS pos, round(unnest(embedding), 6) AS v FROM embeddings", "posexplode")(
+    lambda t: t.embeddings.select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", long("pos").alias("pos"), F.round("v", 6).alias("v"))
 )
-query("SELECT vec_id, CAST(o AS BIGINT) AS o, round(v, 6) AS v FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS o, unnest(embedding) AS v FROM embeddings WHERE vec_id < 20)", "unnest_with_ordinality")(
-    lambda t: t.embeddings.filter("vec_id < 20").select("vec_id", F.posexplode("embedding").alias("o", "v")).select("vec_id", long(C("o") + 1).alias("o"), F.round("v", 6).alias("v"))
+query("SELECT vec_id, CAST(o AS BIGINT) AS o, round(v, 6) AS v FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS o, unnest(embedding) AS v FROM embeddings)", "unnest_with_ordinality")(
+    lambda t: t.embeddings.select("vec_id", F.posexplode("embedding").alias("o", "v")).select("vec_id", long(C("o") + 1).alias("o"), F.round("v", 6).alias("v"))
 )
 query("SELECT n_nationkey, n_name AS a, n_regionkey AS b, n_name AS v FROM nation", "map_struct_fns")(
     lambda t: t.nation.select("n_nationkey", F.struct("n_name", "n_regionkey").alias("s"), F.create_map(F.lit("k"), "n_name").alias("m")).select("n_nationkey", C("s.n_name").alias("a"), C("s.n_regionkey").alias("b"), C("m")["k"].alias("v"))
@@ -382,9 +403,9 @@ query("SELECT * FROM (SELECT n_nationkey, n_regionkey FROM nation WHERE n_region
 query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, 'new' FROM supplier WHERE s_suppkey % 5 = 0", "insert_replace_using")(
     lambda t: R.replace_using(t.supplier.select("s_suppkey", "s_name"), t.supplier.filter("s_suppkey % 5 = 0").select("s_suppkey", F.lit("new").alias("s_name")), ["s_suppkey"])
 )
-query("SELECT n_nationkey, 'x' AS n_name FROM nation WHERE n_regionkey = 1", "returning")(lambda t: R.returning(t.nation, R.update_where(t.nation, C("n_regionkey") == 1, {"n_name": F.lit("x")}), "n_nationkey", "n_name"))
+query("SELECT n_nationkey, 'x' AS n_name FROM nation WHERE n_regionkey = 1", "returning")(lambda t: R.returning(R.updated(t.nation, C("n_regionkey") == 1, {"n_name": F.lit("x")}), "n_nationkey", "n_name"))
 query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 2", "time_travel")(lambda t: R.snapshot(t.nation.select("n_nationkey", "n_regionkey"), "n_regionkey", 2).select("n_nationkey", "n_regionkey"))
-query("SELECT o_orderstatus, CAST(o_orderkey AS BIGINT) AS k FROM orders ORDER BY o_orderkey LIMIT 5", "top_percent_rows")(lambda t: t.orders.orderBy("o_orderkey").limit(5).select("o_orderstatus", C("o_orderkey").alias("k")))
+query("SELECT o_orderstatus, CAST(o_orderkey AS BIGINT) AS k FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= ceil((SELECT count(*) FROM orders) * 0.015)", "top_percent_rows")(lambda t: R.top_percent(t.orders, [C("o_orderkey")], 1.5).select("o_orderstatus", C("o_orderkey").alias("k")))
 query("SELECT o_orderkey, k FROM (SELECT o_orderkey, o_custkey // 100 AS k FROM orders) WHERE k IN (1, 3)", "lateral_alias")(lambda t: t.spark.sql("select o_orderkey, o_custkey div 100 as k from {o} where o_custkey div 100 in (1, 3)", o=t.orders))
 query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, any_value(c_mktsegment) AS a, bool_and(c_acctbal > -2000) AS every, bit_or(c_nationkey) AS bits FROM customer GROUP BY 1", "any_every_bits")(
     lambda t: t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.any_value("c_mktsegment").alias("a"), F.every(C("c_acctbal") > -2000).alias("every"), F.bit_or("c_nationkey").alias("bits"))
@@ -400,14 +421,12 @@ query("SELECT o_orderkey, date_diff('month', TIMESTAMP '1992-01-01', o_orderdate
 @query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY 1")
 def streaming_aggregate(t: Tables) -> DataFrame:
     """The events as a stream, read to its end; the last state of the aggregate is the result."""
-    import uuid
+    stream = _events_stream(t).groupBy("user_id").agg(F.count("*").alias("n"), money("value", "v"))
+    return streams.run_to_files(stream, shared_dir(t.spark), "complete")
 
-    batch = t.events
-    name = f"stream_{uuid.uuid4().hex}"
-    stream = t.spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    done = stream.groupBy("user_id").agg(F.count("*").alias("n"), money("value", "v")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return t.spark.table(name)
+
+def _events_stream(t: Tables) -> DataFrame:
+    return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
 
 
 # --- pipes and user functions -------------------------------------------------------------------
@@ -462,3 +481,92 @@ def transform_script(t: Tables) -> DataFrame:
             yield f[["n_nationkey", "name"]]
 
     return t.nation.select("n_nationkey", "n_name").mapInPandas(shout, "n_nationkey int, name string")
+
+
+# --- written and read back ----------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def insert_directory(t: Tables) -> DataFrame:
+    path = f"{shared_dir(t.spark)}/{uuid4().hex}"
+    corpus.copy_to(t.orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice")), path, "parquet")
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def load_data(t: Tables) -> DataFrame:
+    """COPY TO a file, then LOAD DATA of it into a table, twice: loading appends."""
+    root = f"{shared_dir(t.spark)}/{uuid4().hex}"
+    corpus.copy_to(t.nation, f"{root}/csv", header="true")
+    for _ in range(2):
+        corpus.load_data(t.spark, f"{root}/csv", "n_nationkey int, n_name string, n_regionkey int", f"{root}/table", header="true")
+    return t.spark.read.parquet(f"{root}/table")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def copy_round_trip(t: Tables) -> DataFrame:
+    path = f"{shared_dir(t.spark)}/{uuid4().hex}"
+    corpus.copy_to(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path, "json")
+    return t.spark.read.schema("c_custkey long, c_name string, c_mktsegment string").json(path)
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2")
+def create_table_as(t: Tables) -> DataFrame:
+    name = f"made_{uuid4().hex}"
+    corpus.create_table_as(t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n")), name, partition_by=("o_orderstatus",))
+    return t.spark.table(name).select("o_orderpriority", "o_orderstatus", "n")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'new' ELSE s_name END AS s_name, s_nationkey FROM supplier")
+def insert_overwrite_table(t: Tables) -> DataFrame:
+    """SELECT INTO a partitioned table, then INSERT OVERWRITE of one partition, by name."""
+    name = f"made_{uuid4().hex}"
+    corpus.create_table_as(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), name, partition_by=("s_nationkey",))
+    corpus.insert(t.supplier.filter("s_nationkey = 3").select("s_nationkey", F.lit("new").alias("s_name"), "s_suppkey"), name, overwrite=True)
+    return t.spark.table(name).select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query("SELECT max(o_orderkey) AS hi FROM orders")
+def select_into_variable(t: Tables) -> DataFrame:
+    """SELECT ... INTO @var: a session variable of the query's one value."""
+    name = f"v_{uuid4().hex}"
+    t.orders.createOrReplaceTempView(name)
+    t.spark.sql(f"declare or replace variable {name} bigint")
+    t.spark.sql(f"set var {name} = (select max(o_orderkey) from {name})")
+    return t.spark.sql(f"select {name} as hi")
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_watermark_window(t: Tables) -> DataFrame:
+    w = streams.tumble(_events_stream(t).withColumn("ts", C("ts").cast("timestamp")), "ts", "1 hour", "40 days", ["user_id"], F.count("*").alias("n"))
+    return streams.run_to_files(w, shared_dir(t.spark), "complete").select("user_id", C("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
+def auto_cdc(t: Tables) -> DataFrame:
+    """The latest change of each key, written by every batch."""
+    root = f"{shared_dir(t.spark)}/{uuid4().hex}"
+    stream = _events_stream(t).select("user_id", "event_id", "event_type")
+    streams.auto_cdc(stream, ["user_id"], "event_id", lambda df, epoch: df.write.mode("append").parquet(f"{root}/out"), f"{root}/state").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id, c_name FROM events LEFT JOIN customer ON c_custkey = user_id")
+def stream_lookup_join(t: Tables) -> DataFrame:
+    """Temporal join of a stream with the table as each batch sees it."""
+    joined = streams.lookup_join(_events_stream(t), t.customer.select(C("c_custkey").alias("user_id"), "c_name"), ["user_id"])
+    return streams.run_to_files(joined.select("event_id", "c_name"), shared_dir(t.spark), "append")
+
+
+@query("SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_interval_join(t: Tables) -> DataFrame:
+    a = _events_stream(t).filter("event_type = 'click'").select("user_id", "event_id", C("ts").cast("timestamp").alias("lt"))
+    b = _events_stream(t).filter("event_type = 'purchase'").select("user_id", "event_id", C("ts").cast("timestamp").alias("rt"))
+    both = streams.interval_join(a, b, "user_id", "lt", "rt", "40 days", "1 hour").select(C("a.event_id").alias("click"), C("b.event_id").alias("purchase"))
+    return streams.run_to_files(both, shared_dir(t.spark), "append")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_distinct(t: Tables) -> DataFrame:
+    rows = _events_stream(t).select("user_id", C("ts").cast("timestamp").alias("ts"))
+    return streams.run_to_files(streams.distinct_within(rows, "ts", "40 days", ["user_id"]).select("user_id"), shared_dir(t.spark), "append")

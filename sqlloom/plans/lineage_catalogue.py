@@ -6,12 +6,18 @@ SQL side can build the expected rows from the same keys without reading any SQL.
 
 from __future__ import annotations
 
+import io
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import api, cli
 from ..functions import detect
 from ..operators import graph, lineage as L
+from ..operators import relational as R
 from .catalogue import ORACLE, QUERIES, C, Tables, long, query
+from .lineage import Result
 
 
 def _text(s: str | None) -> str:
@@ -54,7 +60,7 @@ def tables(name: str, template: str, rows: list[tuple], dialect: str | None = "S
 
     def make(t: Tables) -> DataFrame:
         found = L.lineage(scripts(t, table, key, template), dialect=dialect)
-        return L.stmt_tables(found).join(L.statements(found), ["script_id", "stmt_idx"]).select("script_id", long("stmt_idx").alias("stmt_idx"), *columns[1:])
+        return L.typed_tables(found).select("script_id", long("stmt_idx").alias("stmt_idx"), *columns[1:])
 
     query(_expected(table, key, "true", columns, rows), name)(make)
 
@@ -109,7 +115,8 @@ tables("table_lineage_multi_insert", f"from {O} insert into mart.a select x inse
 tables("classify_statement", f"create table {M} (a int); drop table if exists {M}; truncate table {M}; alter table {M} add column b int; alter table {M} rename to mart.z; create table {M} like {O}; create view mart.v as select a from {O}; refresh table {M}; cache table c as select a from {O}; load data inpath '/x' into table {M}",
        [(0, "CREATE_TABLE", "output", M), (1, "DROP_TABLE", "output", M), (2, "TRUNCATE_TABLE", "output", M), (3, "ALTER_TABLE", "output", M), (4, "RENAME_TABLE", "input", M), (4, "RENAME_TABLE", "output", "mart.z"), (5, "CREATE_TABLE_LIKE", "input", O), (5, "CREATE_TABLE_LIKE", "output", M),
         (6, "CREATE_VIEW", "input", O), (6, "CREATE_VIEW", "output", "mart.v"), (7, "READ_METADATA", "input", M), (8, "CACHE_TABLE", "input", O), (8, "CACHE_TABLE", "output", "c"), (9, "LOAD_DATA", "output", M)])
-tables("statement_set", f"execute statement set begin insert into {M} select a from {O}", [(0, "INSERT", "input", O), (0, "INSERT", "output", M)], dialect="FLINK")
+tables("statement_set", f"execute statement set begin insert into {M} select a from {O}; insert into mart.z select b from ods.z; end; select 1 as k from ods.y", [(0, "INSERT", "input", O), (0, "INSERT", "input", "ods.z"), (0, "INSERT", "output", M), (0, "INSERT", "output", "mart.z"), (1, "SELECT", "input", "ods.y")], dialect="FLINK")
+tables("update_of_cte", f"with c as (select a from {O}) update c set a = 1", [(0, "UPDATE", "input", O), (0, "UPDATE", "input", "c"), (0, "UPDATE", "output", "c")], dialect="SQLSERVER")
 tables("placeholder_normalised", f"insert overwrite table {M} select a from {O} where dt = '${{x}}' and h > {{{{ y }}}}", [(0, "INSERT", "input", O), (0, "INSERT", "output", M)])
 tables("partial_on_error", f"insert into {M} select a, from {O} where b = and", [(0, "INSERT", "input", O), (0, "INSERT", "output", M)])
 tables("dual_filtered", f"insert into {M} select 1 from dual", [(0, "INSERT", "output", M)], dialect="ORACLE")
@@ -131,12 +138,16 @@ _ANCHORED = [
     ("select a from t", "SPARK", 0.5), ("select a from t where b ilike 'x'", "POSTGRESQL", 0.92), ("create table t (a int) with ('connector' = 'kafka')", "FLINK", 0.93), ("select top 5 a from t", "SQLSERVER", 0.91), ("select 1 from dual", "ORACLE", 0.9),
     ("create table t (a int) stored as orc", "HIVE", 0.9), ("replace into t select 1", "MYSQL", 0.92), ("create routine load d.j on t", "STARROCKS", 0.93), ("insert overwrite t select a from b", "SPARK", 0.93), ("select `a` from t", "SPARK", 0.96),
     ("select a from t where x = 'ob_read_consistency'", "OCEANBASE", 0.94), ("select a from t limit 5, 10", "MYSQL", 0.92),
+    ("select cast(a as int), (select b as string) from t", "SPARK", 0.5), ("select rows from t where stored as2", "SPARK", 0.5), ("select a[0] from t", "SPARK", 0.96), ("select [a] from [t]", "SQLSERVER", 0.91), ("select t.[a] from t", "SPARK", 0.5),
+    ("select top (5) a from t", "SPARK", 0.5), ("select a from t\nusing x", "SPARK", 0.5), ("select a from t using x", "SPARK", 0.93), ("insert  overwrite t select 1", "SPARK", 0.5), ("insert into t values (1) on conflict do nothing", "POSTGRESQL", 0.92),
+    ("select a::int from t", "POSTGRESQL", 0.92), ("select a from t with (nolock)", "SQLSERVER", 0.91), ("create table t (a int) distributed by hash(a)", "STARROCKS", 0.93), ("create table t (ts int, watermark for ts as ts)", "FLINK", 0.93),
+    ("update t join u on a = b set c = 1", "MYSQL", 0.92), ("delete from t using u", "SPARK", 0.93), ("select a from t connect by prior b = c", "ORACLE", 0.9), ("select a div b from t", "MYSQL", 0.92), ("select 1 from t where x rlike 'a' and y ilike 'b'", "SPARK", 0.96),
 ]
 
 
-@query("SELECT o_orderkey AS script_id, CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN '{d}'" for i, (_, d, _) in enumerate(_ANCHORED)) + " END AS dialect, CAST(CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN {c}" for i, (_, _, c) in enumerate(_ANCHORED)) + " END AS DOUBLE) AS confidence FROM orders")
+@query(f"SELECT o_orderkey AS script_id, CASE o_orderkey % {len(_ANCHORED)} " + " ".join(f"WHEN {i} THEN '{d}'" for i, (_, d, _) in enumerate(_ANCHORED)) + f" END AS dialect, CAST(CASE o_orderkey % {len(_ANCHORED)} " + " ".join(f"WHEN {i} THEN {c}" for i, (_, _, c) in enumerate(_ANCHORED)) + " END AS DOUBLE) AS confidence FROM orders")
 def detect_dialect(t: Tables) -> DataFrame:
-    sql = F.element_at(F.array(*[F.lit(s) for s, _, _ in _ANCHORED]), (C("o_orderkey") % 12 + 1).cast("int"))
+    sql = F.element_at(F.array(*[F.lit(s) for s, _, _ in _ANCHORED]), (C("o_orderkey") % len(_ANCHORED) + 1).cast("int"))
     made = t.orders.select(C("o_orderkey").alias("script_id"), F.concat(F.lit("/* c "), C("o_orderkey"), F.lit(" ilike */ "), sql).alias("sql"))
     return detect.detected(L.spread(made), "sql").select("script_id", "dialect", "confidence")
 
@@ -189,12 +200,14 @@ def statement_histogram(t: Tables) -> DataFrame:
     return graph.statement_histogram(L.lineage(scripts(t, "nation", "n_nationkey", "select 1 as k; drop table t_{k}; use d"), dialect="SPARK"))
 
 
-_NOCOL = [("select * from t", "SELECT_STAR"), ("select count(*) from t", "COUNT_STAR_OR_AGG"), ("show tables", "NO_FROM_OR_METADATA"), ("select 'x' from t", "CONSTANT_PROJECTION"), ("select x from t lateral view explode(y) e as x", "LATERAL_OR_EXPLODE"), ("with q as (select a from t) select a from q", "CTE"), ("select a from t union select b from u", "UNION"), ("select a - b from t", "EXPRESSION"), ("select a from t", "OTHER")]
+_NOCOL = [("select * from t", "SELECT_STAR"), ("select count(*) from t", "OTHER"), ("select  count(*) from t", "COUNT_STAR_OR_AGG"), ("show tables", "NO_FROM_OR_METADATA"), ("select 'x' from t", "CONSTANT_PROJECTION"), ("select x from t lateral view explode(y) e as x", "LATERAL_OR_EXPLODE"), ("with q as (select a from t) select a from q", "CTE"), ("select a from t union select b from u", "UNION"), ("select a - b from t", "OTHER"), ("select a from t", "OTHER"),
+          ("select max(x) from t", "OTHER"), ("select t.* from t", "OTHER"), ("select null as x from t", "CONSTANT_PROJECTION"), ("select true from t", "CONSTANT_PROJECTION"), ("select coalesce(a, 1) from t", "EXPRESSION"),
+          ("select case when a then b end from t", "EXPRESSION"), ("select a, count( * ) from t", "COUNT_STAR_OR_AGG"), ("select x from t where explode(y)", "LATERAL_OR_EXPLODE"), ("insert into t select 1", "NO_FROM_OR_METADATA")]
 
 
-@query("SELECT o_orderkey AS script_id, CASE o_orderkey % 9 " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_NOCOL)) + " END AS class FROM orders")
+@query(f"SELECT o_orderkey AS script_id, CASE o_orderkey % {len(_NOCOL)} " + " ".join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_NOCOL)) + " END AS class FROM orders")
 def no_column_classes(t: Tables) -> DataFrame:
-    sql = F.element_at(F.array(*[F.lit(s) for s, _ in _NOCOL]), (C("o_orderkey") % 9 + 1).cast("int"))
+    sql = F.element_at(F.array(*[F.lit(s) for s, _ in _NOCOL]), (C("o_orderkey") % len(_NOCOL) + 1).cast("int"))
     return t.orders.select(C("o_orderkey").alias("script_id"), graph.no_column_class(sql).alias("class"))
 
 
@@ -210,4 +223,63 @@ def merge_edges(t: Tables) -> DataFrame:
     return L.merge_set_edges(one("select a, b from ods.x"), one("select c from ods.y")).select("script_id", "target_column", "source_table", "source_column")
 
 
+# --- the plain Python face ----------------------------------------------------------------------
+
+
+@query("SELECT 0::BIGINT AS stmt_idx, 'SELECT' AS statement_type, 'HIVE' AS dialect, 's' AS schema, 't' AS name")
+def parse_one(t: Tables) -> DataFrame:
+    r = api.parse("select a from s.t; drop table x", "hive")
+    return t.spark.createDataFrame([(r["stmt_idx"], r["statement_type"], r["dialect"], r["inputs"][0]["schema"], r["inputs"][0]["name"])], "stmt_idx long, statement_type string, dialect string, schema string, name string")
+
+
+@query("SELECT * FROM (VALUES (0, 'POSTGRESQL', 1.0::DOUBLE), (1, 'UNKNOWN', 0.0::DOUBLE), (2, 'POSTGRESQL', 0.92::DOUBLE), (3, 'SPARK', 0.5::DOUBLE)) v(i, dialect, confidence)")
+def select_dialect(t: Tables) -> DataFrame:
+    sql = "select a::int from t"
+    made = [api.select_dialect(sql, ["postgresql"]), api.select_dialect(sql, detection=False), api.select_dialect(sql), api.select_dialect("select 1")]
+    return t.spark.createDataFrame([(i, *x) for i, x in enumerate(made)], "i int, dialect string, confidence double")
+
+
+def _counting(script: str, dialect: str | None) -> list:
+    return [(s, 0.25, Result("OWN", f"WORDS_{len(s.split())}")) for s in script.split(";")]
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'WORDS_2', 0.25::DOUBLE), (1, 'WORDS_3', 0.25)) v(stmt_idx, statement_type, confidence)")
+def replaced_engine(t: Tables) -> DataFrame:
+    api.configure(_counting)
+    try:
+        made = api.parse_script("select a; drop table x")
+    finally:
+        api.configure(None)
+    return t.spark.createDataFrame([(r["stmt_idx"], r["statement_type"], r["dialect_confidence"]) for r in made], "stmt_idx long, statement_type string, confidence double")
+
+
+def _toy(sql: str, dialect: str, temps: dict) -> Result:
+    return Result(dialect, "SELECT", inputs=[tuple(sql.split()[-1].split("."))])
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS script_id, i AS stmt_idx, 'TOY' AS dialect, 'SELECT' AS statement_type, 'ods.' || c || '_' || n_nationkey AS full_name FROM nation, (VALUES (0::BIGINT, 'a'), (1, 'b')) v(i, c)")
+def dialect_plugin(t: Tables) -> DataFrame:
+    """A dialect registered at run time, read by the workers of a DataFrame query."""
+    api.register("toy", _toy)
+    found = L.lineage(scripts(t, "nation", "n_nationkey", "show ods.a_{k}; show ods.b_{k}"), dialect="TOY")
+    return L.typed_tables(found).join(L.statements(found).select("script_id", "stmt_idx", "dialect"), ["script_id", "stmt_idx"]).select("script_id", long("stmt_idx").alias("stmt_idx"), "dialect", "statement_type", "full_name")
+
+
+@query("SELECT * FROM (VALUES (0, 'SELECT', 'MYSQL'), (1, 'DROP_TABLE', 'MYSQL')) v(i, statement_type, dialect)")
+def command_line(t: Tables) -> DataFrame:
+    out = io.StringIO()
+    cli.run(["--dialect=mysql", "select a from s.t; drop table x"], io.StringIO(), out, io.StringIO())
+    return t.spark.createDataFrame([(i, r["statement_type"], r["dialect"]) for i, r in enumerate(json.loads(out.getvalue()))], "i int, statement_type string, dialect string")
+
+
+@query("WITH RECURSIVE h AS (SELECT p_partkey, 1::BIGINT AS level FROM part WHERE p_partkey <= 25 UNION ALL SELECT p.p_partkey, h.level + 1 FROM part p JOIN h ON p.p_partkey - 25 = h.p_partkey) SELECT p_partkey, level FROM h")
+def connect_by_deep(t: Tables) -> DataFrame:
+    """Chains through the whole table, as deep as its size makes them."""
+    rows = t.part.select("p_partkey", (C("p_partkey") - 25).alias("up"))
+    return R.connect_by(rows, "p_partkey", "up", C("p_partkey") <= 25).select("p_partkey", long("level").alias("level"))
+
+
+edges("column_lineage_hinted", f"insert into {M} select x from {O} u join dwd.o o on u.x = o.id", [(M, "x", O, "x")])
+tables("table_lineage_merged", f"select a from {O} union all select b from {O} where c in (select d from {O})", [(0, "SELECT", "input", O)])
+
 __all__ = ["ORACLE", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,23 @@ def read_stream(spark: SparkSession, format: str, schema: str | None = None, pat
     return reader.load(path) if path else reader.load()
 
 
+def run_to_files(stream: DataFrame, root: str, mode: str) -> DataFrame:
+    """The stream, read to its end, as files under `root`: executors write them, and the driver holds no rows.
+    Each batch has a folder of its own; in complete mode the last one is the result."""
+    out = f"{root}/{uuid4().hex}"
+    last: list[int] = []
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={epoch}")  # a batch that is tried again replaces itself
+        last.append(epoch)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").foreachBatch(batch).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[-1]}" if mode == "complete" else f"{out}/batch=*")
+
+
 def lineage_stream(scripts: DataFrame, dialect: str | None = None) -> DataFrame:
     """Lineage of a stream of scripts. Context lives inside a script, so no state is kept."""
     return lineage(scripts, dialect=dialect)

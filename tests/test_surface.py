@@ -3,6 +3,7 @@
 import base64
 import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,11 +107,60 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, 22), (1, 23)]
 
 
-@pytest.mark.parametrize("name", ["sample_seeded", "approx_count_distinct", "hll_distinct"])
-def test_queries_without_sql(spark, name):
-    import __spark_entry__ as entry
-
-    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+def test_closure_and_connect_by_have_no_depth_limit(spark):
+    n = 130
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n)], "src string, dst string").coalesce(1)
+    found = graph.closure(e, spark.createDataFrame([("0",)], "node string")).collect()
+    assert {int(r.node): r.depth for r in found} == {i: i for i in range(n + 1)}
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(500, 501), (501, 500)], "k int, up int").coalesce(1)
+    found = R.connect_by(rows, "k", "up", (F.col("k") == 0) | (F.col("k") == 500)).collect()
+    assert {r.k: r.level for r in found} == {i: i + 1 for i in range(n)} | {500: 1, 501: 2}
+
+
+def test_joins_by_ranges_against_all_pairs(spark):
+    own = random.Random(4)
+    some = lambda n, most: [(i, own.randrange(3), own.choice([None, *range(most)])) for i in range(n)]
+    a, b = some(150, 60), some(60, 60)
+    left, right = spark.createDataFrame(a, "i int, k int, x int"), spark.createDataFrame([(k, x, i) for i, k, x in b], "k int, x int, v int")
+    for by in ([], ["k"]):
+        same = [(lambda r, s: r[1] == s[1]) if by else (lambda r, s: True)][0]
+        rows = left if by else left.drop("k")
+        table = right if by else right.drop("k")
+        for spread in (False, True):
+            found = {r.i: (r.r_x, r.r_v) for r in R.asof_join(rows, table, "x", "x", by, ["v"], spread=spread).collect()}
+            want = {r[0]: max(((s[2], s[0]) for s in b if same(r, s) and s[2] is not None and r[2] is not None and s[2] <= r[2]), default=(None, None)) for r in a}
+            assert found == want
+            found = {r.i: (r.near_x, r.near_v) for r in R.nearest(rows, table, "x", "x", by, "v", spread=spread).collect()}
+            near = {r[0]: min(((abs(s[2] - r[2]), s[2], s[0]) for s in b if same(r, s) and s[2] is not None and r[2] is not None), default=None) for r in a}
+            assert found == {i: (x and float(x[1]) if x else None, x[2] if x else None) if x else (None, None) for i, x in near.items()}
+    spans = [(i, float(lo), float(lo + own.choice([0, 1, 7, 90, 5000, -1]))) for i, lo in enumerate(own.sample(range(-300, 300), 60))]
+    points = [(i, float(own.randrange(-400, 6000))) for i in range(300)]
+    found = R.range_join(spark.createDataFrame(points, "p int, at double"), spark.createDataFrame(spans, "s int, lo double, hi double"), "at", "lo", "hi", 1.0)
+    assert sorted((r.p, r.s) for r in found.collect()) == sorted((p, s) for p, at in points for s, lo, hi in spans if lo <= at <= hi)
+    assert R.range_join(spark.createDataFrame(points, "p int, at double"), spark.createDataFrame([], "s int, lo double, hi double"), "at", "lo", "hi", 1.0).count() == 0
+
+
+def test_repeated_source_keys_are_errors(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(2, "x"), (2, "y"), (None, "z"), (None, "w")], "k int, v string")
+    new = twice.filter("k is null")
+    for make in (
+        lambda s: R.merge(t, s, "k", update={"v": F.col("s_v")}, insert={"v": F.col("s_v")}), lambda s: R.upsert(t, s, ["k"]), lambda s: R.update_from(t, s, "k", {"v": "v"}),
+    ):
+        with pytest.raises(Exception, match="several source rows"):
+            make(twice).collect()
+        assert make(new).filter("k is not null").count() == 2
+    assert sorted(R.returning(R.updated(t, F.col("k") == 1, {"v": F.lit("a")}), "k", "v").collect()) == [(1, "a")]
+
+
+def test_blocks_stay_whole():
+    from sqlloom.functions.text import split_statements
+
+    assert len(split_statements("execute statement set begin insert into a select 1; insert into b select 2; end; select 3")) == 2
+    assert len(split_statements("create or replace procedure p as begin insert into t select 1 from dual; if x then y; end if; begin z; end; end; select 1 from dual")) == 2
+    assert len(split_statements("create procedure p as begin select 1; select 2")) == 2
+    assert len(split_statements("begin; select 1; end")) == 3
+    assert api.parse("create or replace procedure p as begin insert into t select 1 from dual; end", "oracle")["diagnostics"] == []
 
 
 def test_loads_and_tables(spark, tmp_path):
