@@ -6,8 +6,8 @@ sorted by Gray rank, cut into leaves of neighbours, and leaves are grouped into
 keeps the bits on which all below it agree (mask and pattern); a search adds up the differences on
 those bits from the root down and drops a whole group once they exceed K. Of the links of one block
 value only a spanning forest is kept, so a dense group of n gives at most n - 1 rows and loses no
-link between components. Block values with very many fingerprints are routed once more by blocks of
-the other 48 bits, so none of them is one task's work.
+link between components. Block values with very many fingerprints are routed again by blocks of the bits
+that are left, as often as it takes, so none of them is one task's work.
 
 Nulls, empty texts and texts of blanks have no words and fingerprint zero, which links like any
 other. Repeated rows share a fingerprint and keep one row each. Null doc_ids get a fingerprint, but
@@ -17,11 +17,12 @@ are not used as a component's smallest id unless it has no other. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -31,7 +32,7 @@ K = 3
 SEED = 42
 SHINGLE = 3
 LEAF, FAN = 16, 16
-#: Block values with more fingerprints than this are routed by further blocks.
+#: Block values with more fingerprints than this are routed by further blocks. A bucket never has more.
 HOT = 4096
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -156,24 +157,35 @@ def _links(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 
 
 def links(distinct: DataFrame, k: int = K) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp, enough to keep every component together."""
+    """Edges (a, b) between distinct fingerprints fp, enough to keep every component together.
+
+    A key is a block and its value; keys with more than HOT fingerprints are dealt anew by blocks of the bits
+    that are left, until none is hot or so few bits are left that none can be."""
     blocks = k + 1
-    width = 64 // blocks
-    part = lambda i, w, x: F.shiftrightunsigned(x, i * w).bitwiseAND(F.lit((1 << w) - 1))
-    fp = F.col("fp")
-    first = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), part(i, width, fp).alias("value")) for i in range(blocks)])).alias("r")).select("fp", "r.*")
-    sizes = first.groupBy("block", "value").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > HOT).select("block", "value", F.lit(True).alias("hot"))  # at most blocks * distinct / HOT
-    routed = first.join(materialize(hot), ["block", "value"], "left")
-    # The other bits, with the block's own moved out, in k + 1 parts again.
-    low = F.expr(f"fp & (shiftleft(1L, block * {width}) - 1)")
-    high = F.when(F.col("block") == blocks - 1, F.lit(0)).otherwise(F.expr(f"shiftleft(shiftrightunsigned(fp, (block + 1) * {width}), block * {width})"))
-    other = low.bitwiseOR(high)
-    narrow = (64 - width) // blocks
-    again = F.array(*[F.xxhash64("block", "value", F.lit(i), part(i, narrow, other)) for i in range(blocks)])
-    keys = F.when(F.col("hot"), again).otherwise(F.array(F.xxhash64("block", "value")))
-    rows = routed.select("fp", F.explode(keys).alias("key"))
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
+    rows, left, dealt = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), 64, []
+    while True:
+        width = left // blocks
+
+        def block(i: int, width: int = width) -> Column:
+            """The key of block i, and the bits without it."""
+            value = F.shiftrightunsigned("rest", i * width).bitwiseAND(F.lit((1 << width) - 1))
+            low = F.col("rest").bitwiseAND(F.lit((1 << i * width) - 1))
+            high = F.shiftleft(F.shiftrightunsigned("rest", (i + 1) * width), i * width) if (i + 1) * width < 64 else F.lit(0).cast("long")
+            return F.struct(F.xxhash64("key", F.lit(i), value).alias("key"), low.bitwiseOR(high).alias("rest"))
+
+        rows = rows.select("fp", F.explode(F.array(*map(block, range(blocks)))).alias("r")).select("fp", "r.*")
+        left -= width
+        if 1 << left <= HOT:
+            dealt.append(rows)
+            break
+        hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"))  # at most rows / HOT
+        if hot.isEmpty():
+            dealt.append(rows)
+            break
+        dealt.append(rows.join(hot, "key", "left_anti").select("fp", "key", "rest"))
+        rows = materialize(rows.join(hot, "key", "left_semi").select("fp", "key", "rest"))
+    keyed_rows = reduce(DataFrame.unionByName, dealt).select("fp", "key")
+    sorted_rows = keyed_rows.repartition("key").sortWithinPartitions("key")
     return sorted_rows.mapInPandas(lambda frames: _links(frames, k), "a long, b long")
 
 
