@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .packing import TOKENIZER, encoder
 
 BUDGET = 1024
@@ -118,6 +119,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def format_windows(conversations: DataFrame, tokenizer: str | None = None, budget: int = BUDGET) -> DataFrame:
     """The windows of each conversation, a conversation's windows together and in order."""
+    bounded_batches(conversations.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("first_turn", pa.int64()), ("n_turns", pa.int64()), ("n_repeated", pa.int32()), ("tokens", pa.int64()), ("loss", span)])
@@ -142,16 +144,19 @@ def format_windows(conversations: DataFrame, tokenizer: str | None = None, budge
     return ordered.select("conv_id", "role", "text").mapInArrow(run, _WINDOW)
 
 
-def digest(formatted: DataFrame) -> DataFrame:
-    """The contract's columns, read back from windows as format_windows() gives them."""
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
+def digest(formatted: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The contract's columns, read back from windows as format_windows() gives them; and n_over, windows of
+    more tokens than `budget`, which hold one turn that is longer by itself."""
+    bounded_batches(formatted.sparkSession)
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64()), ("n_over", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for conv, rows in groupby(_rows(batches), key=lambda r: r[0]):
             turns, loss = hashlib.sha256(), hashlib.sha256()
-            n = chars = size = count = 0
-            for _, text, repeated, spans in rows:
+            n = chars = size = count = over = 0
+            for _, text, repeated, spans, tokens in rows:
+                over += tokens > budget
                 for role, said in read_turns(text)[repeated:]:
                     turns.update(f"{role}\n{said}\n".encode())
                     n += 1
@@ -160,12 +165,12 @@ def digest(formatted: DataFrame) -> DataFrame:
                     loss.update(said.encode())
                     chars += len(said)
                 size, count = size + len(text), count + 1
-            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, count))
+            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, count, over))
             if len(out) >= 5000:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                 out = []
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
-    return formatted.select("conv_id", "text", "n_repeated", "loss").mapInArrow(run, ddl)
+    ddl = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long, n_over long"
+    return formatted.select("conv_id", "text", "n_repeated", "loss", "tokens").mapInArrow(run, ddl)
