@@ -1,6 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, secrets, packing.
 
-Every stage works on all that the one before it kept; the result is a row for each packed piece.
+Every stage works on all that the one before it kept; the result is a row for each packed piece. In all
+stages null texts are empty (and fail the quality rules), repeated rows and repeated or null ids are
+documents of their own, and an empty table stays empty. All but the last keep every column of their input,
+whatever its name.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = common.made()
     for _, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir))
+        common.release(spark, before, keep=1)  # what the stage wrote on its way, and the stage before it
     return docs

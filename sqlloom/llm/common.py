@@ -37,11 +37,19 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables of materialize(); call it when no frame made from them is needed."""
+def made() -> int:
+    """How many tables materialize() has written and release() not deleted."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables of materialize() from number `since` on, but for the last `keep`; call it when no
+    frame made from them is needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    gone = _made[since : len(_made) - keep]
+    del _made[since : len(_made) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

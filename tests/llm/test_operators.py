@@ -694,3 +694,24 @@ def test_pipeline(spark):
     from tokenizers import Tokenizer
 
     check_packed(p.run(spark, "/root/testdata/sf0.01").collect(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), list(texts.items()), 2048)
+
+
+def test_stages_with_odd_input(spark):
+    import corpus_pipeline as p
+
+    df, texts, _ = odd_docs(spark)
+    bench = "/root/testdata/sf0.001"
+    kept = [n for n, t in enumerate(texts) if len((t or "").split()) >= 50]
+    for name, stage in p.STAGES[:-1]:
+        clash = df.selectExpr("*", "1 as n_hits", "2 as items", "3 as n_words", "4 as spans", "5 as marks", "6 as kept", "7 as lang_", "8 as key")
+        found = stage(spark, clash, bench)
+        assert found.columns == clash.columns and found.count() <= len(texts)
+        assert stage(spark, clash.limit(0), bench).count() == 0
+        if name in ("template_decontamination", "secret_scan"):
+            assert found.count() == len(texts)
+    assert 0 < p.quality_rules(spark, df, bench).count() <= len(kept)
+    packed = p.best_fit_packing(spark, df, bench)
+    assert packed.select("doc_id").filter("doc_id is null").count() >= 2 and p.best_fit_packing(spark, df.limit(0), bench).count() == 0
+    before = common.made()
+    out = p.run(spark, bench)
+    assert common.made() == before + 1 and out.count() > 0
