@@ -7,7 +7,9 @@
    (length, hash bucket) and a row number inside a bucket, so no length meets in one task.
 
 Nulls are empty texts (one end token); null or repeated doc_ids are separate documents; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. Of sequences with equal room the one opened last is filled
+first, and pieces of equal length take their slots by hash bucket, doc_id, piece and row; any such choice
+packs as well. A very long text is encoded whole and cut into pieces, so the rows it gives are bounded.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ spans, and masks are written chunk by chunk, so the work grows with a text's len
 
 Nulls are empty texts without spans; repeated rows and repeated or null ids give a row each, and
 count as one repository; a null source is an owner of its own; an empty table gives no rows; other
-columns are ignored by scan() and kept by redact().
+columns are ignored by scan() and kept by redact(), whatever their names. Spans of one kind never overlap;
+where kinds do, all are reported, and redact() masks them together under the kind that starts first (of
+equal starts, the one listed first). Texts of any length are read whole.
 """
 
 from __future__ import annotations

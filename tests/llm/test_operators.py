@@ -715,3 +715,30 @@ def test_stages_with_odd_input(spark):
     before = common.made()
     out = p.run(spark, bench)
     assert common.made() == before + 1 and out.count() > 0
+
+
+def test_very_long_texts_in_every_operator(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = random.Random(21)
+    long = " ".join(f"w{own.randrange(3000)}" + own.choice(["", "", ".", "\n"]) for _ in range(250_000)) + " é日 " + "z" * 50_000
+    texts = [long, long[:4000], "x", None]
+    df = docs_of(spark, texts).drop("rid", "row")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_packed(packing.pack(df).collect(), tok, list(enumerate(texts)), 2048)
+    found = {r.doc_id: r for r in rules.judge(df).collect()}
+    assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in (found[i] for i in range(4))] == [rule_counts(t or "") for t in texts]
+    assert {r.doc_id: r.spans for r in secrets.digest(df).collect()} == {i: "" for i in range(4)}
+    prints = {r.doc_id: r.fingerprint for r in simhash.cluster(df).collect()}
+    assert [int(prints[i], 16) for i in range(4)] == [simhash.fingerprint((t or "").encode()) for t in texts]
+    cut = {r.doc_id: r for r in sentences.remove_repeats(df).collect()}
+    assert cut[0].text == long and len(cut[1].text) < 100
+    bench = spark.createDataFrame([(1, " ".join(long.split()[200_000:200_030])), (2, "never said " * 9)], "item_id long, text string")
+    assert [decontaminate.scan(df, bench, held).filter("items = '1'").select("doc_id").collect()[0].doc_id for held in (0, 10**6)] == [0, 0]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (0, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(df, labels).count() == toxicity.classify(df, labels).count() == 4
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "assistant", "end")], "conv_id long, turn long, role string, text string")
+    said = chat.digest(chat.format_windows(turns)).collect()[0]
+    assert (said.n_turns, said.loss_chars, said.n_over) == (3, len(long) + 3, 2)
+    assert said.loss_sha256 == hashlib.sha256((long + "end").encode()).hexdigest()
