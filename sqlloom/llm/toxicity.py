@@ -47,6 +47,8 @@ PATTERNS = (
 #: Induced voters; with the others they are 63 at most, the bits of a number.
 INDUCED = 56
 BEGINNINGS = (4, 5, 6)
+#: Vote patterns of a partition in the rounds of EM.
+PATTERN_ROWS = 200_000
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_"
 _KEPT_WORDS = 200_000
 
@@ -231,7 +233,8 @@ def vote_counts(docs: DataFrame, induced: list[bytes], without: set[int]) -> Dat
 
     bounded_batches(docs.sparkSession)
     rows = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")))
+    counts = materialize(rows.mapInArrow(run, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")))
+    return counts.coalesce(1 + counts.count() // PATTERN_ROWS)
 
 
 def unpacked(bits: np.ndarray, voters: int) -> np.ndarray:
@@ -240,7 +243,7 @@ def unpacked(bits: np.ndarray, voters: int) -> np.ndarray:
 
 def summed_votes(counts: DataFrame, voters: int) -> Callable[[LabelModel, bool], np.ndarray]:
     """The `others` of LabelModel.fit(): sums over counts(votes, n), made where the rows lie. The driver
-    gets one vector of a size fixed by the voters from each batch, whatever the number of vote patterns."""
+    gets one vector of a size fixed by the voters from each partition, of PATTERN_ROWS vote patterns or so."""
 
     def total(model: LabelModel, rates: tuple | bool) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +252,7 @@ def summed_votes(counts: DataFrame, voters: int) -> Callable[[LabelModel, bool],
                 out += model.sums(unpacked(batch["votes"].to_numpy(), voters), None, rates or None, batch["n"].to_numpy().astype(float))
             yield pa.record_batch([pa.array([out], pa.list_(pa.float64()))], names=["sums"])
 
-        return sum((np.array(r["sums"]) for r in counts.mapInArrow(run, "sums array<double>").toLocalIterator()), np.zeros(voters * voters if rates else 4 + 2 * voters))
+        return sum((np.array(r["sums"]) for r in counts.mapInArrow(run, "sums array<double>").collect()), np.zeros(voters * voters if rates else 4 + 2 * voters))
 
     return total
 
