@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import FOLD, cut
 
 
 #: Ranges of a sorted number that a key's rows are dealt to, for each shuffle partition.
@@ -272,29 +272,22 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return removed.unionByName(after.exceptAll(before).withColumn("change", F.lit("insert")))
 
 
-#: Levels that one job of connect_by goes down.
-LEVELS = 8
-
-
 def connect_by(df: DataFrame, key: str, parent: str, start: Column) -> DataFrame:
     """START WITH / CONNECT BY PRIOR: rows with level and path, down to the last level, however deep. One join
-    for each level, LEVELS of them in a job, whose result is written with a checkpoint; a node that is
-    already on its path is not followed (NOCYCLE)."""
-    level = df.filter(start).select("*", F.lit(1).alias("level"), F.array(F.col(key)).alias("path"))
-    parts, depth = [], 1
+    for each level, whose result is written with a checkpoint, so that no level is computed twice; a node
+    that is already on its path is not followed (NOCYCLE)."""
+    level = cut(df.filter(start).select("*", F.lit(1).alias("level"), F.array(F.col(key)).alias("path")))
+    parts, depth = [level], 1
     while True:
-        made = [level]
-        for depth in range(depth + 1, depth + LEVELS + 1):
-            up = level.select(F.col(key).alias("__p"), F.col("path").alias("__path"))
-            step = df.join(up, df[parent] == up["__p"]).filter(~F.array_contains("__path", df[key]))
-            level = step.select(*[df[c] for c in df.columns], F.lit(depth).alias("level"), F.array_append("__path", df[key]).alias("path"))
-            made.append(level)
-        # The first level of this job is the last of the one before.
-        block = cut(reduce(DataFrame.unionByName, made[1:] if parts else made))
-        parts.append(block)
-        level = block.filter(F.col("level") == depth)
+        depth += 1
+        up = level.select(F.col(key).alias("__p"), F.col("path").alias("__path"))
+        step = df.join(up, df[parent] == up["__p"]).filter(~F.array_contains("__path", df[key]))
+        level = cut(step.select(*[df[c] for c in df.columns], F.lit(depth).alias("level"), F.array_append("__path", df[key]).alias("path")))
         if level.isEmpty():
             return reduce(DataFrame.unionByName, parts)
+        parts.append(level)
+        if len(parts) == FOLD:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
