@@ -540,6 +540,65 @@ def test_kneser_ney_is_a_distribution(spark):
     assert dict(zip(model.keys[-1].tolist(), model.counts[-1].astype(int).tolist(), strict=True)) == dict(counts)
 
 
+def other_scripts(n, more=()):
+    """Texts of words of other scripts, and the first of them with its characters in any order."""
+    own = random.Random(8)
+    words = ["".join(own.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏") for _ in range(own.randrange(2, 5))) for _ in range(40)]
+    texts = [" ".join(own.choice([*words, *more]) for _ in range(150)) for _ in range(n)]
+    mixed = list(texts[0].replace(" ", ""))
+    own.shuffle(mixed)
+    return [*texts, "".join(" " if c == " " else mixed.pop() for c in texts[0])]
+
+
+def test_other_scripts_are_judged_by_their_characters(spark):
+    import corpus_pipeline as p
+
+    texts = other_scripts(60)
+    df = docs_of(spark, texts)
+    found = {r.doc_id: r for r in rules.judge(df).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert sum(found[i].kept for i in range(60)) >= 58 and not found[60].kept
+    assert {r.doc_id for r in p.quality_rules(spark, df, SF).collect()} == {i for i, r in found.items() if r.kept}
+
+
+def test_other_scripts_against_brute_force(spark):
+    texts = [*other_scripts(12, ["привет", "мир", "ελληνικά", "👍", "Word"]), *ODD, prose(80), "日" * 300]
+    order = rules.ORDER
+    kind = lambda c: int(rules._TABLE[ord(c)]) if ord(c) < len(rules._TABLE) and rules._TABLE[ord(c)] < rules.SYMBOLS else c
+    coded = [[kind(c) for c in "\n" * (order - 1) + (t or "")] for t in texts]
+    levels = [collections.Counter(tuple(c[k : k + order]) for c in coded for k in range(len(c) - order + 1))]
+    for _ in range(order - 1):
+        levels.insert(0, collections.Counter(g[1:] for g in levels[0]))
+    size = rules.SYMBOLS + len({s for c in coded for s in c if isinstance(s, str)})
+    cuts = []
+    for counts in levels:
+        n = collections.Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2])
+        cuts.append([0, *(min(max(k - (k + 1) * y * ((n[k + 1] or n[k]) if k == 3 else n[k + 1]) / n[k], lo), hi) for k, lo, hi in ((1, 0.05, 0.95), (2, 0.1, 1.9), (3, 0.15, 2.9)))])
+
+    total, back = [collections.Counter() for _ in levels], [collections.Counter() for _ in levels]
+    for k, counts in enumerate(levels):
+        for g, c in counts.items():
+            total[k][g[:-1]] += c
+            back[k][g[:-1]] += cuts[k][min(c, 3)]
+
+    def share(g):
+        k = len(g) - 1
+        lower = share(g[1:]) if k else 1 / size
+        return (levels[k][g] - cuts[k][min(levels[k][g], 3)]) / total[k][g[:-1]] + back[k][g[:-1]] / total[k][g[:-1]] * lower
+
+    lp = {i: -np.mean([np.log(share(tuple(c[k : k + order]))) for k in range(len(c) - order + 1)]) for i, c in enumerate(coded) if len(c) >= order}
+    for ids in (None, [i // 2 for i in range(len(texts))]):  # unique ids, and repeated ones
+        df = docs_of(spark, texts, ids).select("doc_id", "text", "lang")
+        for held in (10**6, 0):  # both paths
+            model = rules.fit(df, held)
+            assert (model.far is None) == bool(held)
+            rows = rules.measured(df, model).collect()
+            wanted = sorted((i if ids is None else ids[i], rule_counts(t or "")[1], round(lp.get(i, -1), 5)) for i, t in enumerate(texts))
+            got = sorted((r.doc_id, r.word_chars, -1 if r.log_perplexity is None else r.log_perplexity) for r in rows)
+            assert [g[:2] for g in got] == [w[:2] for w in wanted] and np.allclose([g[2] for g in got], [w[2] for w in wanted], atol=1e-5)
+
+
 def test_classifiers(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     truth = {r.doc_id: r for r in labels.collect()}
