@@ -755,6 +755,16 @@ def test_pipeline(spark):
     check_packed(p.run(spark, "/root/testdata/sf0.01").collect(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), list(texts.items()), 2048)
 
 
+def test_pipeline_of_other_scripts(spark, tmp_path):
+    import corpus_pipeline as p
+
+    texts = other_scripts(40)
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {r.doc_id for r in p.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert len(kept) >= 38 and 40 not in kept
+
+
 def test_stages_with_odd_input(spark):
     import corpus_pipeline as p
 
