@@ -26,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, keyed, lookup, materialize
@@ -39,6 +39,8 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 #: with the root of the words as the noise of a mean does; and the least quartile distance counted (smaller
 #: than any language's on the test tables). Set so that labelled clean texts of sf0.1 stay (README).
 WIDTH, SPREAD, FLOOR = 2.0, 20.0, 0.025
+#: Accuracy of the sketch that narrows the search for quartiles, and the errors of it that are searched.
+SKETCH, MARGIN = 10_000, 2
 _BLANK = " \t\n\v\f\r"
 _SIGNS = "#*$%&|<>"
 # Classes beyond a-z of the alphabet, in order from 26 on.
@@ -364,11 +366,30 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
+def quartiles(rows: DataFrame) -> DataFrame:
+    """__lang and q (an array of the three) over rows(lang, log_perplexity): values of rank ceil(n * i / 4).
+
+    A sketch only narrows the search: what lies below its bounds is counted, and what lies between them is
+    counted by value. The bounds are MARGIN sketch errors to either side of a rank."""
+    step, x = MARGIN / SKETCH, F.col("log_perplexity")
+    ends = [F.lit(i / 4 + d) for i in (1, 2, 3) for d in (-step, step)]
+    sketch = rows.groupBy("lang").agg(F.count(x).alias("n"), F.percentile_approx(x, F.array(*ends), F.lit(SKETCH)).alias("e"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.ceil(F.col("n") * i / 4).alias("k"), F.col("e")[2 * i - 2].alias("lo"), F.col("e")[2 * i - 1].alias("hi")) for i in (1, 2, 3)]))
+    wanted = lookup(sketch.select(F.col("lang").alias("__lang"), each.alias("w")).select("__lang", "w.*"))
+    near = rows.select("lang", x).join(wanted, F.col("lang").eqNullSafe(F.col("__lang")) & (x <= F.col("hi")))
+    counted = near.groupBy("__lang", "i", "k", F.when(x >= F.col("lo"), x).alias("x")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__lang", "i").orderBy(F.col("x").asc_nulls_first()))
+    # The first value that reaches the rank; none, or what lies below the bounds, would be a wrong sketch.
+    least = F.min(F.when(F.col("upto") >= F.col("k"), F.struct(F.coalesce("x", F.lit(float("-inf"))).alias("x"))))["x"]
+    found = counted.withColumn("upto", upto).groupBy("__lang", "i").agg(least.alias("x"))
+    sure = F.when(F.col("x") > float("-inf"), F.col("x")).otherwise(F.raise_error(F.lit("a quartile lies outside its bounds")))
+    return found.groupBy("__lang").agg(F.array_sort(F.collect_list(F.struct("i", sure.alias("x")))).alias("q")).select("__lang", F.col("q.x").alias("q"))
+
+
 def bands(rows: DataFrame) -> DataFrame:
     """lang, middle and quartile distance over rows that pass the counting rules."""
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000))
-    found = rows.filter(~base_failed()).groupBy("lang").agg(q.alias("q"))
-    return found.select(F.col("lang").alias("__lang"), F.col("q")[1].alias("middle"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(FLOOR)).alias("unit"))
+    found = quartiles(rows.filter(~base_failed()))
+    return found.select("__lang", F.col("q")[1].alias("middle"), F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(FLOOR)).alias("unit"))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sqlloom.llm import chat, common, decontaminate, packing, quality, rules, secrets, sentences, simhash, suffix, toxicity
 
@@ -529,6 +530,23 @@ def test_bands_against_brute_force(spark):
     assert sum(truth.get(i) == 0 for i in out) >= 5 and sum(truth.get(i) == 1 for i in out) <= 1
 
 
+def test_bands_of_many_documents_are_exact(spark):
+    x = F.round(F.abs(F.xxhash64("id")) / 2.0**62, 6)
+    lang = F.when(F.col("id") % 3 == 0, "en").when(F.col("id") % 3 == 1, "de")
+    rows = spark.range(0, 400_000, 1, 9).select(lang.alias("lang"), F.lit(60).alias("n_words"), F.lit(0).alias("n_repeat_words"), x.alias("log_perplexity"))
+    rows = rows.unionByName(rows.filter("lang = 'de'").limit(3).withColumn("lang", F.lit("one"))).cache()
+    rows = rows.unionByName(rows.withColumn("n_words", F.lit(49)).withColumn("log_perplexity", F.lit(9.0)))
+    own = collections.defaultdict(list)
+    for r in rows.filter("n_words >= 50").collect():
+        own[r.lang].append(r.log_perplexity)
+    want = {}
+    for k, v in own.items():
+        lo, mid, hi = (sorted(v)[-(-len(v) * i // 4) - 1] for i in (1, 2, 3))
+        want[k] = (mid, max(hi - lo, rules.FLOOR))
+    assert {r[0]: (r.middle, r.unit) for r in rules.bands(rows).collect()} == want and len(want) == 4
+    assert rules.bands(rows.limit(0)).count() == 0
+
+
 def test_kneser_ney_is_a_distribution(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = rules.fit(d)
