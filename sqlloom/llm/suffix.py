@@ -25,6 +25,10 @@ Nulls are empty texts; repeated rows and repeated or null ids are separate docum
 gives no rows; other columns are ignored. Texts of any length are hashed in blocks; of a periodic stretch
 only the first period's starts go through the tests. Of equal texts the one of least row key stands for the
 others in the tests, and all of them go.
+
+SPAN bytes miss repeated passages of many short words, so the same search also runs over words: a start is
+then a word, a string is WORDS words whatever blanks part them, and n_passage_words counts the words covered
+by those that start anywhere else too, same document included. No byte is removed for it.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ SPAN = 400
 GRAM = 24
 #: Starts an anchor may have, then the runs that open anchors and runs are cut into.
 WIDTHS = (256, 32, 4)
+#: Words of a repeated passage, with the gram and the widths of its anchors and runs in words; bytes of a word that stands for itself.
+WORDS, WORD_GRAM, WORD_WIDTHS, LONG = 50, 16, (32, 4), 48
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,6 +64,42 @@ _ROW = "rid long, at int, lo int, hi int, inner long, outer binary"
 _KEYS = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("inner", pa.int64()), ("outer", pa.binary())])
 
 
+class Words:
+    """Texts as one sequence of their words: a slice is their bytes, each word ended by one space; `first`
+    has the place of each text's first word, and the end.
+
+    So slices of equally many words are equal, or neither begins the other. A word of more than LONG bytes
+    is replaced by its 128-bit hash, in a form that no other word has, so a slice stays small."""
+
+    def __init__(self, *texts: bytes):
+        parts = [b" ".join([*t.split(), b""]) for t in texts]
+        self.first = np.cumsum([0, *(p.count(b" ") for p in parts)])
+        self._place(parts)
+        long = np.flatnonzero(np.diff(self.places) > LONG + 1)
+        for i in np.unique(np.searchsorted(self.first, long, "right") - 1).tolist():
+            words = [w if len(w) <= LONG else xxh3_128_digest(w).hex().encode().rjust(LONG + 1, b"\0") for w in parts[i].split()]
+            parts[i] = b" ".join([*words, b""])
+        if len(long):
+            self._place(parts)
+
+    def _place(self, parts: list[bytes]) -> None:
+        self.text = b"".join(parts)
+        self.places = np.r_[0, np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32) + 1]
+
+    def __len__(self) -> int:
+        return len(self.places) - 1
+
+    def __getitem__(self, part: slice) -> bytes:
+        return self.text[self.places[part.start] : self.places[min(part.stop, len(self))]]
+
+    def codes(self) -> np.ndarray:
+        """A number for each word, of its length and first 8 bytes: equal words have equal ones."""
+        n = np.diff(self.places) - 1
+        head = np.ndarray(len(self.text), "<u8", self.text + bytes(7), strides=(1,))[self.places[:-1]]
+        mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+        return (head & mask[np.minimum(n, 8)]) * _MIX + n.astype(np.uint64)
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of the gram bytes at each place: doubling, as 24 = 8 + 16."""
     with np.errstate(over="ignore"):
@@ -114,19 +156,28 @@ def _joined(ranges: np.ndarray) -> np.ndarray:
     return np.c_[ranges[new, 0], reach[np.r_[new[1:], len(ranges)] - 1]]
 
 
-def without_periods(data: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], span: int = SPAN) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+def even_gaps(at: np.ndarray) -> np.ndarray:
+    """Whether an anchor and the three after it lie at equal distances of PERIOD at most."""
+    gap = np.diff(at)
+    return (gap[2:] == gap[1:-1]) & (gap[1:-1] == gap[:-2]) & (gap[:-2] <= PERIOD)
+
+
+def without_periods(data: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], span: int = SPAN, text: bytes | Words | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """Anchors less those of periodic stretches, and the ranges of starts settled by that.
 
     In a stretch of period p a start equals the one p places on, so all of them are repeated, and its
     first p starts stand for the others as partners. A text of one letter thus has an anchor or two, not
-    one at each place. Periods show as equal gaps between anchors; longer ones have few anchors anyway."""
+    one at each place. Periods show as equal gaps between anchors; longer ones have few anchors anyway.
+    Where equal numbers in `data` may stand for different words, `text` decides."""
     at, lo, hi = found
     gap = np.diff(at)
-    same = (gap[2:] == gap[1:-1]) & (gap[1:-1] == gap[:-2]) & (gap[:-2] <= PERIOD)
+    same = even_gaps(at)
     sure, gone = [], []
     for p in np.unique(gap[:-2][same]).tolist():
         ends = np.flatnonzero(np.diff(np.r_[False, data[:-p] == data[p:], False].astype(np.int8))).reshape(-1, 2)
         ends = ends[ends[:, 1] - ends[:, 0] >= span]
+        if text is not None:
+            ends = ends[[text[a:b] == text[a + p : b + p] for a, b in ends.tolist()]] if len(ends) else ends
         sure.append(np.c_[ends[:, 0], ends[:, 1] - span + p])
         gone.append(np.c_[ends[:, 0] + p, ends[:, 1] - span + p])
     if not sure or not sum(map(len, sure)):
@@ -139,7 +190,7 @@ def without_periods(data: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.nd
     return (at[keep], lo[keep], hi[keep]), _joined(np.concatenate(sure))
 
 
-def _outer(data: bytes, first: int, last: int, span: int, seed: int) -> bytes | None:
+def _outer(data: bytes | Words, first: int, last: int, span: int, seed: int) -> bytes | None:
     """Hash of all that the windows of the starts first..last cover; null where the text ends before,
     since only a whole string speaks for every start of the run."""
     whole = first >= 0 and last + span <= len(data)
@@ -150,14 +201,37 @@ def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def anchor_rows(texts: DataFrame, span: int = SPAN, seen_twice: np.ndarray | None = None) -> DataFrame:
+def word_anchors(texts: list[bytes], span: int) -> tuple[Words, tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The words of a batch of texts, (text, anchor, first start, last start) and (text, first, last) of the starts
+    that periods settle; places count from the batch's first word. One pass takes all texts, since most are short."""
+    words = Words(*texts)
+    data, first = words.codes(), words.first
+    at, lo, hi = anchors(data, span, WORD_WIDTHS[0], WORD_GRAM)
+    # A start with all its words in one text has its anchor there too; other starts go.
+    own = np.searchsorted(first, at, "right") - 1
+    lo, hi = np.maximum(lo, first[own]), np.minimum(hi, first[own + 1] - span)
+    own, at, lo, hi = (c[lo <= hi] for c in (own, at, lo, hi))
+    kept, sure = np.ones(len(at), bool), [np.empty((0, 3), np.int64)]
+    more = [np.empty((0, 4), np.int64)]
+    for i in np.unique(own[: max(0, len(own) - 3)][even_gaps(at)]).tolist():
+        (a, b), start = np.searchsorted(own, [i, i + 1]), first[i]
+        left, settled = without_periods(data[start : first[i + 1]], (at[a:b] - start, lo[a:b] - start, hi[a:b] - start), span, Words(texts[i]))
+        if len(settled):
+            kept[a:b] = False
+            more.append(np.c_[np.full(len(left[0]), i), np.stack(left, 1) + start])
+            sure.append(np.c_[np.full(len(settled), i), settled + start])
+    rows = np.concatenate([np.c_[own, at, lo, hi][kept], *more])
+    return words, tuple(rows.T), tuple(np.concatenate(sure).T)
+
+
+def anchor_rows(texts: DataFrame, span: int = SPAN, seen_twice: np.ndarray | None = None, words: bool = False) -> DataFrame:
     """Anchors of texts(rid, text). Without `seen_twice` only their inner hashes; with it, rid, at, lo,
     hi, inner and outer of those whose inner hash may have been seen twice, and rows without hashes for
     the starts that periods settle. Batches end after ROWS rows, whatever a text holds."""
-    if WIDTHS[0] + GRAM > span:
-        raise ValueError(f"a span has {WIDTHS[0] + GRAM} bytes at least")
+    width, gram = (WORD_WIDTHS[0], WORD_GRAM) if words else (WIDTHS[0], GRAM)
+    if width + gram > span:
+        raise ValueError(f"a span has {width + gram} {'words' if words else 'bytes'} at least")
     shared = seen_twice is not None and texts.sparkSession.sparkContext.broadcast(seen_twice)
-    width = WIDTHS[0]
     hashes = pa.schema([("inner", pa.int64())])
 
     def of(row: int, text: bytes, bits: np.ndarray | None) -> Iterator[list]:
@@ -178,17 +252,44 @@ def anchor_rows(texts: DataFrame, span: int = SPAN, seen_twice: np.ndarray | Non
             outer = [_outer(text, x - width + 1, x, span, 0) for x in a[keep].tolist()]
             yield [np.full(len(keep), row), a[keep], lo[part][keep], hi[part][keep], inner[keep], outer]
 
+    def of_words(rids: np.ndarray, texts: list[bytes], bits: np.ndarray | None) -> Iterator[list]:
+        batch, (own, at, lo, hi), (alone, a, b) = word_anchors(texts, span)
+        text, places, first = batch.text, batch.places, batch.first
+        if bits is not None and len(alone):
+            none = [None] * len(alone)
+            yield [rids[alone], np.full(len(alone), -1), a - first[alone], b - first[alone], none, none]
+        for i in range(0, len(at), ROWS):
+            mine, x, low, high = (c[i : i + ROWS] for c in (own, at, lo, hi))
+            inner = [xxh3_64_intdigest(text[p:q]) for p, q in zip(places[x].tolist(), places[x + span - width + 1].tolist(), strict=True)]
+            inner = np.array(inner, np.uint64).view(np.int64)
+            if bits is None:
+                yield [inner]
+                continue
+            place = inner & (8 * len(bits) - 1)
+            keep = np.flatnonzero(bits[place >> 3] >> (place & 7) & 1)
+            mine, x, low, high = (c[keep] for c in (mine, x, low, high))
+            whole = (x - width + 1 >= first[mine]) & (x + span <= first[mine + 1])
+            outer = [xxh3_128_digest(batch[p : p + span + width - 1]) if w else None for p, w in zip((x - width + 1).tolist(), whole.tolist(), strict=True)]
+            yield [rids[mine], *(c - first[mine] for c in (x, low, high)), inner[keep], outer]
+
+    def columns_of(batch: pa.RecordBatch, bits: np.ndarray | None) -> Iterator[list]:
+        texts = blob(batch["text"])
+        if words:
+            yield from of_words(batch["rid"].to_numpy(), texts, bits)
+            return
+        for row, text in zip(batch["rid"].to_pylist(), texts, strict=True):
+            yield from of(row, text, bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _KEYS if shared else hashes
         for batch in batches:
             held, n = [], 0
-            for row, text in zip(batch["rid"].to_pylist(), blob(batch["text"]), strict=True):
-                for columns in of(row, text, shared.value if shared else None):
-                    held.append([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)])
-                    n += len(columns[0])
-                    if n >= ROWS:
-                        yield pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], schema=schema)
-                        held, n = [], 0
+            for columns in columns_of(batch, shared.value if shared else None):
+                held.append([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)])
+                n += len(columns[0])
+                if n >= ROWS:
+                    yield pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], schema=schema)
+                    held, n = [], 0
             if n:
                 yield pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], schema=schema)
 
@@ -238,7 +339,7 @@ def placed(texts: DataFrame, open_rows: DataFrame) -> DataFrame:
     return texts.join(places, "rid")
 
 
-def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPAN) -> DataFrame:
+def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPAN, words: bool = False) -> DataFrame:
     """Cut the starts lo..hi into runs that lie at fixed distances before the anchor `at`.
 
     The distance seeds the hashes: a place that two anchors reach is not taken for its own copy."""
@@ -247,6 +348,7 @@ def run_rows(texts: DataFrame, open_rows: DataFrame, width: int, span: int = SPA
         for batch in batches:
             out: list[list] = [[] for _ in _KEYS]
             for rid, text, places in zip(batch["rid"].to_pylist(), blob(batch["text"]), batch["open"], strict=True):
+                text = Words(text) if words else text
                 for p in places:
                     at, lo, hi = (p[k].as_py() for k in ("at", "lo", "hi"))
                     for j in range((at - hi) // width, (at - lo) // width + 1):
@@ -362,15 +464,16 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, bytes, tuple]]:
 _RUN = pa.schema([("part", pa.int32()), ("shared", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())), ("rid", pa.list_(pa.int64())), ("x", pa.list_(pa.int32())), ("sure", pa.bool_())])
 
 
-def suffixes(texts: DataFrame, open_rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """rid, x, suffix (its first span bytes) of every open start, in batches of bounded size."""
+def suffixes(texts: DataFrame, open_rows: DataFrame, span: int = SPAN, words: bool = False) -> DataFrame:
+    """rid, x, suffix (its first span bytes or words) of every open start, in batches of bounded size."""
     schema = pa.schema([("rid", pa.int64()), ("x", pa.int32()), ("suffix", pa.binary())])
+    size = span * (LONG + 2) if words else span
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = max(1, (4 << 20) // span)
+        most = max(1, (4 << 20) // size)
         for batch in batches:
             for rid, text, places in zip(batch["rid"].to_pylist(), blob(batch["text"]), batch["open"], strict=True):
-                own = places.values
+                text, own = Words(text) if words else text, places.values
                 lo, hi = own.field("lo").to_numpy(), own.field("hi").to_numpy()
                 for first, last in _joined(np.c_[lo, hi].astype(np.int64)).tolist():
                     for a in range(first, last + 1, most):
@@ -382,7 +485,7 @@ def suffixes(texts: DataFrame, open_rows: DataFrame, span: int = SPAN) -> DataFr
         for batch in run(batches):
             held.append(batch)
             n += len(batch)
-            if n * span >= 4 << 20:
+            if n * size >= 4 << 20:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, n = [], 0
         if held:
@@ -400,8 +503,9 @@ def splitters_of(starts: DataFrame, parts: int) -> list[bytes]:
     return [sample[i][: common(sample[i - 1], sample[i]) + 1] for i in at]
 
 
-def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = None) -> DataFrame:
-    """starts(rid, x, suffix) -> (rid, x) of those whose suffix shares span bytes with a neighbour.
+def sorted_neighbours(starts: DataFrame, span: int | None = SPAN, parts: int | None = None) -> DataFrame:
+    """starts(rid, x, suffix) -> (rid, x) of those whose suffix shares span bytes with a neighbour; without
+    span, all of it.
 
     Map side: each task sorts SORTED bytes of suffixes at a time and emits a front-coded run for each
     part. Reduce side: a part merges its runs, read bit by bit out of Arrow buffers. Equal suffixes always
@@ -422,7 +526,7 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
                 continue
             shared, rest = front_coded([r[0] for r in rows[start:end]])
             # Equal suffixes of one run are repeats already; the first of them goes on for all.
-            same = [i for i in range(1, len(shared)) if shared[i] >= span]
+            same = [i for i in range(1, len(shared)) if shared[i] >= (span or len(rows[start + i][0]))]
             known = sorted({*same, *(i - 1 for i in same)})
             go = sorted(set(range(len(shared))) - set(same))
             tags = [[[rows[start + i][k] for i in at] for at in (go, known)] for k in (1, 2)]
@@ -440,11 +544,13 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, int, int]] = []
+        held = 0
         for batch in batches:
             rows += zip(*(batch[k].to_pylist() for k in ("suffix", "rid", "x")), strict=True)
-            if len(rows) * span >= SORTED:
+            held += batch["suffix"].nbytes
+            if held >= SORTED:
                 yield from coded(rows)
-                rows = []
+                rows, held = [], 0
         if rows:
             yield from coded(rows)
 
@@ -467,8 +573,8 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
                     by_part.setdefault(part, []).append(items(batch, i))
         for found in by_part.values():
             rid, x, before, said = [], [], None, True
-            for shared, _, tag in merged([Run(r) for r in found]):
-                if before is not None and shared >= span:
+            for shared, text, tag in merged([Run(r) for r in found]):
+                if before is not None and shared >= (span or len(text)):
                     for t in ([] if said else [before]) + [tag]:
                         rid.append(t[0])
                         x.append(t[1])
@@ -487,28 +593,32 @@ def sorted_neighbours(starts: DataFrame, span: int = SPAN, parts: int | None = N
 # --- the operator -------------------------------------------------------------------------------
 
 
-def repeated_starts(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(rid, lo, hi): ranges of starts whose span bytes start elsewhere too, for texts(rid, text)."""
-    sure, rows = settle(anchor_rows(texts, span, repeat_filter(anchor_rows(texts, span))))
+def repeated_starts(texts: DataFrame, span: int = SPAN, words: bool = False) -> DataFrame:
+    """(rid, lo, hi): ranges of starts whose span bytes, or words, start elsewhere too, for texts(rid, text)."""
+    sure, rows = settle(anchor_rows(texts, span, repeat_filter(anchor_rows(texts, span, None, words)), words))
     # Only texts with open places are read again; they are written once, without the others.
     rows = materialize(rows)
     texts = materialize(texts.join(lookup(rows.select("rid").distinct()), "rid", "left_semi"))
-    for width in WIDTHS[1:]:
-        more, rows = settle(run_rows(texts, rows, width, span))
+    for width in (WORD_WIDTHS if words else WIDTHS)[1:]:
+        more, rows = settle(run_rows(texts, rows, width, span, words))
         sure = sure.unionByName(more)
-    last = sorted_neighbours(suffixes(texts, rows, span), span)
+    last = sorted_neighbours(suffixes(texts, rows, span, words), None if words else span)
     return sure.unionByName(last.select("rid", F.col("x").alias("lo"), F.col("x").alias("hi")))
 
 
 def cutter(span: int, with_text: bool):
-    """Arrow function: text and repeated start ranges -> n_bytes, n_removed, n_spans, kept_sha256 (and kept)."""
+    """Arrow function: text, repeated start ranges and words in passages -> n_bytes, n_removed, n_spans,
+    kept_sha256, n_passage_words (and kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_words", pa.int64())] + [("kept", pa.binary())] * with_text)
         for batch in batches:
             rows = []
-            for doc, text, whole, ranges in zip(batch["doc_id"].to_pylist(), blob(batch["text"]), batch["whole"].to_pylist(), batch["ranges"].to_pylist(), strict=True):
-                spans = [[0, len(text)]] if whole else []
+            for doc, text, whole, ranges, n in zip(batch["doc_id"].to_pylist(), blob(batch["text"]), *(batch[k].to_pylist() for k in ("whole", "ranges", "passages")), strict=True):
+                spans = [[0, len(text)]] if whole and len(text) >= span else []
+                if whole:
+                    n = len(text.split())
+                    n = n if n >= WORDS else 0
                 for r in sorted((r["lo"], r["hi"] + span) for r in ranges or ()):
                     if spans and r[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], r[1])
@@ -519,25 +629,29 @@ def cutter(span: int, with_text: bool):
                     kept.append(text[at:a])
                     at = b
                 left = b"".join([*kept, text[at:]])
-                rows.append((doc, len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)[: len(schema)])
+                rows.append((doc, len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), n, left)[: len(schema)])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words (and the kept bytes) of each row."""
     rows = keyed(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    long = rows.filter(F.octet_length(text) >= span)
+    long = rows.filter(F.octet_length(text) >= min(span, 2 * WORDS - 1))
     hashed = materialize(long.select("rid", F.sha2(text.cast("binary"), 256).alias("copy")))
     copies = hashed.groupBy("copy").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
     whole = materialize(hashed.join(materialize(copies), "copy").select("rid", "first"))
     # Later copies leave the search: the first stands for them.
     later = whole.filter("rid <> first").select("rid")
     texts = long.select("rid", text.alias("text")).join(lookup(later), "rid", "left_anti")
-    found = joined_ranges(repeated_starts(texts, span), "lo", "hi", 1)
-    marks = lookup(found.join(whole.select("rid", F.lit(True).alias("whole")), "rid", "full_outer"), F.coalesce(F.size("ranges"), F.lit(0)))
+    found = joined_ranges(repeated_starts(texts.filter(F.octet_length("text") >= span), span), "lo", "hi", 1)
+    # Starts at most WORDS apart cover one run of words.
+    runs = joined_ranges(repeated_starts(texts, WORDS, words=True), "lo", "hi", WORDS)
+    passages = runs.select("rid", F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"] + WORDS).alias("passages"))
+    marks = found.join(whole.select("rid", F.lit(True).alias("whole")), "rid", "full_outer").join(passages, "rid", "full_outer")
+    marks = lookup(marks, F.coalesce(F.size("ranges"), F.lit(0)))
     out = rows.select("rid", "doc_id", text.alias("text")).join(marks, "rid", "left")
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return out.select(F.col("doc_id").cast("long"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges").mapInArrow(cutter(span, with_text), ddl)
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long" + ", kept binary" * with_text
+    return out.select(F.col("doc_id").cast("long"), "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges", F.coalesce("passages", F.lit(0)).alias("passages")).mapInArrow(cutter(span, with_text), ddl)

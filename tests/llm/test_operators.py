@@ -298,6 +298,46 @@ def test_suffix_dedup_of_periodic_and_long_texts(spark):
     assert bytes(found[0].kept).decode() == texts[0].replace(passage, "") and bytes(found[2].kept).decode() == texts[2]
 
 
+def passage_words(docs, size=50):
+    count, texts = collections.Counter(), [re.findall(rb"[^\x20\x09-\x0d]+", t) for t in docs]
+    for w in texts:
+        count.update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+    out = []
+    for w in texts:
+        hit = bytearray(len(w))
+        for i in range(len(w) - size + 1):
+            if count[tuple(w[i : i + size])] > 1:
+                hit[i : i + size] = b"\1" * size
+        out.append(sum(hit))
+    return out
+
+
+def test_suffix_dedup_counts_words_of_passages(spark):
+    own = random.Random(31)
+    word = lambda: "".join(own.choice("abcdefgh\u00e9") for _ in range(own.choice((1, 2, 3, 4, 12))))
+    some = lambda n: [word() for _ in range(n)]
+    passages = [some(n) for n in (49, 50, 51, 52, 55, 60, 75, 100, 160)]
+    texts = list(ODD)
+    for _ in range(70):
+        parts = []
+        for _ in range(own.randrange(1, 4)):
+            p, kind = own.choice(passages), own.random()
+            at = own.randrange(len(p))
+            parts += p if kind < 0.4 else p[at // 3 :] if kind < 0.6 else [*p[:at], "#", *p[at + 1 :]] if kind < 0.8 else []
+            parts += some(own.randrange(0, 70))
+        texts.append("".join(x for w in parts for x in (w, own.choice((" ", "\n", "\t \x0b", "  ")))))
+    short, long = " ".join("abc"[i % 3] for i in range(50)), [*some(20), "m" * 700, *some(12), "n" * 49, *some(20)]
+    texts += [short, short, "a " * 3000, "x " + "a\n" * 70, "one two three four five " * 40 + "six", "is " * 49]
+    texts += [" ".join(some(5) + long), "\n".join(long + some(3)), " ".join(long).replace("m" * 700, "m" * 701), texts[12], texts[12].replace(" ", "\n")]
+    # Words with the same beginnings and lengths are not taken for each other.
+    texts += [" ".join(["beginning" + "abcd"[i % 4] for i in range(120)]), " ".join("beginning" + own.choice("abcd") for _ in range(300))]
+    found = suffix.remove_repeats(docs_of(spark, texts)).orderBy("doc_id").collect()
+    docs = [(t or "").encode() for t in texts]
+    assert [r.n_passage_words for r in found] == passage_words(docs)
+    assert collections.Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == repeated_bytes(docs, 400)
+    assert sum(r.n_passage_words > 0 and not r.n_removed for r in found) > 20
+
+
 def test_merge_of_many_parts(spark):
     own = random.Random(2)
     rows = [(own.choice([7, 8, 9]), i, bytes(own.choice(b"ab") for _ in range(12))) for i in range(3000)] + [(1, i, b"a" * 12) for i in range(500)]
